@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from strandloom.functions import dna
 from strandloom.plans.stage import materialize
 
+from .compact_local import MOST_LINKS, solve_links
+
 
 def oriented(kmers: DataFrame, k: int) -> DataFrame:
     """``x``: both orientations of each k-mer, a palindrome once."""
@@ -57,7 +59,7 @@ def _double(state: DataFrame) -> tuple[DataFrame, DataFrame]:
         state = materialize(
             state.join(hop, F.col("p") == F.col("h_x"), "left").select("x", F.coalesce("h_p", "p").alias("p"), (F.col("d") + F.coalesce("h_d", F.lit(0))).alias("d"), F.col("h_x").isNotNull().alias("open")), "pointers"
         )
-        now = state.where("open").count()
+        now = state.where("open").count()  # a scan of one column
         if now == 0 or now == left:
             break
         left = now
@@ -77,28 +79,32 @@ def _cycle_starts(ring: DataFrame) -> DataFrame:
         state = state.drop("new")
 
 
-def paths(kmers: DataFrame, k: int) -> DataFrame:
+def _rounds(link: DataFrame, k: int) -> DataFrame:
+    """``head, d, x, is_cycle`` by rounds over the whole cluster: both orientations of paths, one of each cycle."""
+    placed, rest = _double(link.select(F.col("b").alias("x"), F.col("a").alias("p"), F.lit(1).cast("long").alias("d")))
+    heads = placed.select(F.col("p").alias("x")).distinct().select(F.col("x").alias("head"), F.lit(0).cast("long").alias("d"), "x", F.lit(False).alias("is_cycle"))
+    members = heads.union(placed.select(F.col("p").alias("head"), "d", "x", F.lit(False).alias("is_cycle")))
+    if not rest.limit(1).count():
+        return members
+    ring = link.join(rest, link["b"] == rest["x"]).select("x", F.col("a").alias("p"))
+    least = _cycle_starts(ring)
+    other = least.select(node_twin(F.col("x"), k).alias("t_x"), F.col("m").alias("t_m"))
+    own = materialize(least.join(other, F.col("x") == F.col("t_x")).where(F.col("m") < F.col("t_m")).select("x", "m"), "cycles")
+    cut = ring.join(own, "x").where(F.col("x") != F.col("m")).select("x", "p", F.lit(1).cast("long").alias("d"))
+    around, _ = _double(cut)
+    starts = own.where(F.col("x") == F.col("m")).select(F.col("m").alias("head"), F.lit(0).cast("long").alias("d"), "x", F.lit(True).alias("is_cycle"))
+    return members.union(starts).union(around.select(F.col("p").alias("head"), "d", "x", F.lit(True).alias("is_cycle")))
+
+
+def paths(kmers: DataFrame, k: int, most_local: int = MOST_LINKS) -> DataFrame:
     """``head, d, x, is_cycle``: every k-mer once, in the orientation and at the place it has in its unitig.
 
     Of the two orientations of a path the one that begins with the smaller k-mer stays. A cycle begins with
-    the least of all its oriented k-mers.
+    the least of all its oriented k-mers. Up to ``most_local`` links are followed in one task, more by rounds.
     """
     kmers = materialize(kmers.select("kmer"), "kmers")
     link = materialize(links(kmers, k), "links")
-    placed, rest = _double(link.select(F.col("b").alias("x"), F.col("a").alias("p"), F.lit(1).cast("long").alias("d")))
-    heads = placed.select(F.col("p").alias("x")).distinct().select(F.col("x").alias("head"), F.lit(0).cast("long").alias("d"), "x", F.lit(False).alias("is_cycle"))
-    members = heads.union(placed.select(F.col("p").alias("head"), "d", "x", F.lit(False).alias("is_cycle")))
-
-    if rest.limit(1).count():
-        ring = link.join(rest, link["b"] == rest["x"]).select("x", F.col("a").alias("p"))
-        least = _cycle_starts(ring)
-        other = least.select(node_twin(F.col("x"), k).alias("t_x"), F.col("m").alias("t_m"))
-        own = materialize(least.join(other, F.col("x") == F.col("t_x")).where(F.col("m") < F.col("t_m")).select("x", "m"), "cycles")
-        cut = ring.join(own, "x").where(F.col("x") != F.col("m")).select("x", "p", F.lit(1).cast("long").alias("d"))
-        around, _ = _double(cut)
-        starts = own.where(F.col("x") == F.col("m")).select(F.col("m").alias("head"), F.lit(0).cast("long").alias("d"), "x", F.lit(True).alias("is_cycle"))
-        members = members.union(starts).union(around.select(F.col("p").alias("head"), "d", "x", F.lit(True).alias("is_cycle")))
-
+    members = solve_links(link, k) if link.count() <= most_local else _rounds(link, k)
     members = materialize(members, "members")
     ends = members.where("not is_cycle").groupBy("head").agg(F.max_by("x", "d").alias("tail"))
     # Plain numbers are compared; at equal ones (a palindrome at both ends) the nodes themselves.
