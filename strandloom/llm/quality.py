@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import bounded_batches, materialize
 
@@ -144,24 +145,25 @@ def log_ratio(counts: list[tuple[int, int]], prior: float = 4.0) -> np.ndarray:
     return np.log((target + prior) / (expected + prior)).ravel()
 
 
-def weigh(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """``rows`` with text replaced by ``log_weight``."""
+def weigh(rows: DataFrame, table: np.ndarray, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``rows`` with ``log_weight`` added, and without the text unless ``keep_text``."""
     bounded_batches(rows.sparkSession)
-    names = [c for c in rows.columns if c != "text"]
+    names = [c for c in rows.columns if keep_text or c != text_col]
+    at, places = rows.columns.index(text_col), [rows.columns.index(c) for c in names]
     sent = rows.sparkSession.sparkContext.broadcast(table.astype(np.float64))  # TABLES * BINS numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lr = sent.value
         for b in batches:
             out = np.zeros(b.num_rows)
-            for i, data, offsets in _blocks(b.column("text").fill_null("")):
+            for i, data, offsets in _blocks(b.column(at).fill_null("")):
                 bins, starts, text = features(data, offsets)
                 if len(starts):
                     out[i + text] = np.add.reduceat(lr[bins].sum(axis=0), starts)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(out)], [*names, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in places], pa.array(out)], [*names, "log_weight"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{kinds}, log_weight double")
+    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("log_weight", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float | None:
@@ -213,19 +215,23 @@ def importance_resample(docs: DataFrame, labels: DataFrame, seed: int = 7, max_l
     counts = count_features(rows.select(F.col(text_col).alias("text"), (F.col("good") & F.col("fit")).alias("good")))
     table = log_ratio([(r["f"], r["n"]) for r in counts.collect()])  # at most 2 * TABLES * BINS rows
 
-    noise = -F.log(-F.log((F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
-    source = docs
-    if keep_columns:
-        source = materialize(docs.withColumn("q_row", F.monotonically_increasing_id()), "quality-input")
-    extra = ["q_row"] if keep_columns else []
-    weighed = weigh(source.select(F.col(id_col).alias("id"), *extra, F.col(text_col).alias("text")), table).withColumn("gumbel_key", F.col("log_weight") + noise)
+    noise = lambda c: -F.log(-F.log((F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
+    weighed = weigh(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), table).withColumn("gumbel_key", F.col("log_weight") + noise("id"))
     weighed = materialize(weighed.withColumn("bits", _double_bits(F.col("gumbel_key"))), "weights")
     seen = weighed.join(F.broadcast(sample), F.col("id") == F.col("l_id")).where(~(F.col("good") & F.col("fit"))).groupBy("id", "good").agg(F.min("log_weight").alias("w")).collect()  # at most max_labels rows
     cut = best_cut(np.array([r["w"] for r in seen], float), np.array([r["good"] for r in seen], bool)) if seen else None
-    kept = weighed
+    least = None
     if cut is not None:
         least = kth_largest(weighed, weighed.where(F.col("log_weight") > cut).count())
-        kept = weighed.where(F.col("bits") >= least) if least is not None else weighed.limit(0)
+        if least is None:
+            least = (1 << 63) - 1  # nothing lies above the cut
     if keep_columns:
-        return source.join(kept.select("q_row"), "q_row", "left_semi").select(*docs.columns)
+        if least is None:
+            return docs
+        # Weighing a row again is cheaper than a copy of all texts to join the decisions to.
+        names = [f"c{i}" for i in range(len(docs.columns))]
+        again = weigh(docs.toDF(*names), table, names[docs.columns.index(text_col)], keep_text=True)
+        key = F.col("log_weight") + noise(names[docs.columns.index(id_col)])
+        return again.where(_double_bits(key) >= least).drop("log_weight").toDF(*docs.columns)
+    kept = weighed if least is None else weighed.where(F.col("bits") >= least)
     return kept.select(F.col("id").alias(id_col), "log_weight", "gumbel_key")
