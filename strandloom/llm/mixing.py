@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .rules import words_of
-from .scratch import materialize
+from .scratch import materialize, shield
 
 WEIGHTS = (5, 2, 1)
 RAMPS = (0.5, 0.0, -0.5)
@@ -84,8 +84,9 @@ def mix(docs: DataFrame, most: int = 2, id_col: str = "doc_id", text_col: str =
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as it is taken, range-sorted by training position."""
-    kept = materialize(docs.withColumn("m_row", F.monotonically_increasing_id()), "mix-input")
-    mixed = mix(kept, id_col=id_col, text_col=text_col, source_col=source_col, row_col="m_row")
+    inner, at = shield(docs)
+    kept = materialize(inner.withColumn("m_row", F.monotonically_increasing_id()), "mix-input")
+    mixed = mix(kept, id_col=at[id_col], text_col=at[text_col], source_col=at[source_col], row_col="m_row")
     copies = mixed.select(F.col("row").alias("c_row"), F.explode("positions").alias("c_position"))
-    rows = kept.join(copies, kept["m_row"] == copies["c_row"])
-    return rows.repartitionByRange(F.col("c_position"), F.col("m_row")).sortWithinPartitions("c_position", "m_row").select(*[rows[c] for c in docs.columns])
+    rows = kept.join(copies, F.col("m_row") == F.col("c_row"))
+    return rows.repartitionByRange(F.col("c_position"), F.col("m_row")).sortWithinPartitions("c_position", "m_row").select(*inner.columns).toDF(*docs.columns)

@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .scratch import bounded_batches, materialize
+from strandloom.operators.components import connected_components
+
+from .scratch import bounded_batches, materialize, shield
 
 PAIRS = list(combinations(range(4), 2))
 SHORT_POSTING = 16
@@ -130,8 +131,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, id_col: str =
 
 def deduplicate(docs: DataFrame, size: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: the one with the smallest id (of equal ids any one, of rows without ids one)."""
-    keyed = docs.withColumn("d_key", F.monotonically_increasing_id())
-    keyed = materialize(keyed, "dedup-input")
+    inner, at = shield(docs)
+    id_col, text_col = at[id_col], at[text_col]
+    keyed = materialize(inner.withColumn("d_key", F.monotonically_increasing_id()), "dedup-input")
     found = materialize(fingerprints(keyed, size, "d_key", text_col), "fingerprints")
     distinct = found.select("fp").distinct()
     distinct = materialize(distinct, "distinct-fp")
@@ -139,4 +141,4 @@ def deduplicate(docs: DataFrame, size: int = 3, bits: int = 2, id_col: str = "do
     rows = keyed.select("d_key", F.col(id_col).alias("d_id")).join(found, "d_key").join(labels, F.col("fp") == labels["node"], "left")
     root = F.coalesce("component", "fp")
     first = rows.groupBy(root.alias("root")).agg(F.min(F.struct(F.col("d_id").isNull(), F.col("d_id"), F.col("d_key"))).alias("m"))
-    return keyed.join(first.select(F.col("m.d_key").alias("d_key")), "d_key", "left_semi").drop("d_key")
+    return keyed.join(first.select(F.col("m.d_key").alias("d_key")), "d_key", "left_semi").drop("d_key").toDF(*docs.columns)

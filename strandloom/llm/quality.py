@@ -211,8 +211,8 @@ def importance_resample(docs: DataFrame, labels: DataFrame, seed: int = 7, max_l
     sample = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg((F.min("quality") == 1).alias("good"))
     sample = sample.withColumn("fit", F.pmod(F.xxhash64("l_id", F.lit(seed + 1)), F.lit(2)) == 0)
     sample = materialize(sample.orderBy(F.xxhash64("l_id", F.lit(seed)), "l_id").limit(max_labels), "labels")
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["l_id"], "left")  # at most max_labels rows
-    counts = count_features(rows.select(F.col(text_col).alias("text"), (F.col("good") & F.col("fit")).alias("good")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("l_id"), "left")  # at most max_labels rows
+    counts = count_features(rows.select("text", (F.col("good") & F.col("fit")).alias("good")))
     table = log_ratio([(r["f"], r["n"]) for r in counts.collect()])  # at most 2 * TABLES * BINS rows
 
     noise = lambda c: -F.log(-F.log((F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))

@@ -7,14 +7,13 @@ a local folder under /tmp is taken and set for the session.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.plans.stage import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,18 +33,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a context: they need not have it on their path."""
-    sc = spark.sparkContext
-    if getattr(sc, "_strandloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    sc.addPyFile(str(target))
-    sc._strandloom_shipped = True
+def shield(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of names that can't clash, and the new name of each old one; ``toDF`` brings the old ones back."""
+    names = [f"in_{i}_" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:

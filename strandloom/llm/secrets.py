@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, shield
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -117,14 +117,17 @@ def redact(text: Column, spans: Column, rules: tuple[Rule, ...] = RULES) -> Colu
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with secrets replaced; a column ``n_chars``, where there is one, follows the text."""
-    _, new = scan(docs, rules=rules, id_col=id_col, text_col=text_col)
+    inner, at = shield(docs)
+    text_in, chars = F.col(at[text_col]), at.get("n_chars")
+    _, new = scan(inner, rules=rules, id_col=at[id_col], text_col=at[text_col])
     hits = new.where(F.size("spans") > 0).select(F.col("blob").alias("h_blob"), F.col("spans").alias("h_spans"))
-    rows = docs.join(hits, F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == hits["h_blob"], "left")
-    text = F.when(F.col("h_spans").isNull(), docs[text_col]).otherwise(redact(docs[text_col], F.col("h_spans"), rules))
-    out = {text_col: text}
-    if "n_chars" in docs.columns and text_col != "n_chars":
-        out["n_chars"] = F.when(F.col("h_spans").isNull(), docs["n_chars"]).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[out.get(c, docs[c]).alias(c) for c in docs.columns])
+    rows = inner.join(hits, F.sha2(F.coalesce(text_in, F.lit("")), 256) == F.col("h_blob"), "left")
+    text = F.when(F.col("h_spans").isNull(), text_in).otherwise(redact(text_in, F.col("h_spans"), rules))
+    done = rows.select(*[text.alias(c) if c == at[text_col] else F.col(c) for c in inner.columns], F.col("h_spans").isNotNull().alias("h_new"))
+    length = F.char_length(F.col(at[text_col]))
+    if chars and chars != at[text_col]:
+        done = done.withColumn(chars, F.when(F.col("h_new"), length.cast(inner.schema[chars].dataType)).otherwise(F.col(chars)))
+    return done.select(*inner.columns).toDF(*docs.columns)
 
 
 __all__ = ["RULES", "Rule", "find", "redact", "redacted", "scan", "spans_of", "written"]

@@ -134,12 +134,13 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, capacities: li
 def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
     """Write the files of shards that gained or lost rows under ``path/shard=N``; the others are left. Returns these shards.
 
-    Ids must be unique here, for a row's shard is looked up by its id.
+    Ids must be unique here, for a row's shard is looked up by its id. A column ``shard`` of ``docs`` is replaced.
     """
     moved = placed.where(F.col("shard") != F.col("old_shard")).select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     touched = sorted(r["s"] for r in moved.collect())  # shard numbers
     if touched:
         rows = placed.where(F.col("shard").isin(touched)).select(F.col(id_col).alias("p_id"), "shard")
-        out = docs.join(rows, docs[id_col].eqNullSafe(rows["p_id"])).drop("p_id")
+        mine = docs.drop("shard", "p_id")
+        out = mine.join(rows, mine[id_col].eqNullSafe(rows["p_id"])).drop("p_id")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return touched

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .scratch import materialize
+from .scratch import materialize, shield
 
 LABELS = 6
 DEPTH = 2
@@ -51,10 +51,12 @@ def validity(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """``captures`` with ``matched_key``, ``since`` and ``blocked`` added (columns of these names are replaced)."""
     names = [c for c in captures.columns if c not in ("matched_key", "since", "blocked")]
-    rows = materialize(captures.select(*names, F.monotonically_increasing_id().alias("u_row")), "captures")
-    asked = rows.select("u_row", F.col(time_col).alias("u_time"), F.explode(keys_of(F.col(url_col))).alias("u_key"))
-    spans = validity(entries)
-    active = (F.col("u_key") == spans["key"]) & (F.col("u_time") >= spans["since"]) & (spans["until"].isNull() | (F.col("u_time") < spans["until"]))
+    inner, at = shield(captures.select(*names))
+    rows = materialize(inner.withColumn("u_row", F.monotonically_increasing_id()), "captures")
+    asked = rows.select("u_row", F.col(at[time_col]).alias("u_time"), F.explode(keys_of(F.col(at[url_col]))).alias("u_key"))
+    spans = validity(entries.select("key", "day", "action"))
+    active = (F.col("u_key") == F.col("key")) & (F.col("u_time") >= F.col("since")) & (F.col("until").isNull() | (F.col("u_time") < F.col("until")))
     best = asked.join(spans, active).groupBy(F.col("u_row").alias("b_row")).agg(F.max(F.struct(F.length("key").alias("n"), "key", "since", "action")).alias("m"))
-    out = rows.join(best, rows["u_row"] == best["b_row"], "left")
-    return out.select(*[rows[c] for c in names], F.col("m.key").alias("matched_key"), F.col("m.since").alias("since"), F.coalesce(F.col("m.action") == "block", F.lit(False)).alias("blocked"))
+    out = rows.join(best, F.col("u_row") == F.col("b_row"), "left")
+    added = (F.col("m.key").alias("matched_key"), F.col("m.since").alias("since"), F.coalesce(F.col("m.action") == "block", F.lit(False)).alias("blocked"))
+    return out.select(*inner.columns, *added).toDF(*names, "matched_key", "since", "blocked")

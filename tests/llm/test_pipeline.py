@@ -1,0 +1,16 @@
+import corpus_pipeline
+from strandloom.llm.scratch import materialize
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages_on_the_smallest_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, n = docs.columns, docs.count()
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = materialize(stage(spark, docs, DATA), "test")
+        if i < 3:
+            assert docs.columns == columns, name
+            assert docs.count() <= n
+            n = docs.count()
+    assert docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
