@@ -14,7 +14,7 @@ from strandloom.operators import colors as color_ops
 from strandloom.operators import compact as compaction
 from strandloom.sources import fastx, gfa, store
 
-from .stage import materialize, number_rows, spread
+from .stage import materialize, number_rows
 
 
 @dataclass(frozen=True)
@@ -43,9 +43,9 @@ class Graph:
         """K-mers of ``seq`` records seen ``min_count`` times or more, and all of ``ref`` records; then cleaned, then colored."""
         parts = []
         if seq is not None:
-            parts.append(kmers.count_kmers(spread(seq), k, min_count).select("kmer"))
+            parts.append(kmers.count_kmers(seq, k, min_count).select("kmer"))
         if ref is not None:
-            parts.append(kmers.distinct_kmers(spread(ref), k))
+            parts.append(kmers.distinct_kmers(ref, k))
         if not parts:
             raise ValueError("seq or ref records are needed")
         table = materialize(parts[0] if len(parts) == 1 else edit.union(*parts), "graph-kmers")
@@ -99,7 +99,7 @@ class Graph:
         return replace(self, kmers=table, colors=colors, made=None)
 
     def color(self, records: DataFrame, color_col: str) -> Graph:
-        table = materialize(color_ops.color_kmers(self.kmers, spread(records), self.k, color_col), "graph-colors")
+        table = materialize(color_ops.color_kmers(self.kmers, records, self.k, color_col), "graph-colors")
         return replace(self, colors=table)
 
     def add(self, records: DataFrame) -> Graph:
@@ -152,7 +152,6 @@ class Graph:
             raise ValueError(f"unknown mode {mode}")
         if (mode == "presence") != (min_ratio is not None) or (min_colors is not None and (min_ratio is None or self.colors is None)):
             raise ValueError("presence goes with min_ratio, and min_colors with presence on a colored graph")
-        records = spread(records)
         if approximate:
             if self.colors is not None:
                 raise ValueError("approximate queries are for graphs without colors")

@@ -41,7 +41,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out where the input has fewer partitions than the cluster has cores (one small file is one task)."""
+    """Deal the rows of a bare scan out where it has fewer partitions than there are cores (one small file is one task).
+
+    For scans only: asking a plan with a shuffle for its partitions would run it.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
