@@ -94,12 +94,12 @@ def ranges(sizes: dict[int, int], capacities: list[int]) -> list[tuple[int, int,
 def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, capacities: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, size, text_crc32, old_shard, shard, slot`` of every row.
 
-    ``old_shard``: a number below a small bound, the shard a row is in. ``capacities``: bytes of each new
+    ``old_shard``: a number below a small bound, the shard a row is in; null counts as 0. ``capacities``: bytes of each new
     shard, equal ones by default; they are scaled to the total.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"), F.xxhash64(id_col).alias("h"))
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), F.xxhash64(id_col).alias("h"))
     rows = materialize(rows, "shard-rows")
     totals = rows.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # a row for each old shard
     sizes, count = {r["old_shard"]: r["bytes"] for r in totals}, sum(r["n"] for r in totals)

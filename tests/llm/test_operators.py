@@ -265,6 +265,7 @@ def test_resharding(docs, empty, tmp_path):
         by[r.shard].append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert sharding.reshard(empty, old).count() == 0
+    assert sharding.reshard(docs, F.when(F.col("doc_id") > 20, old), shards=4).count() == docs.count()
     unique = docs.where("doc_id >= 10").dropDuplicates(["doc_id"])
     placed = sharding.reshard(unique, old, shards=4)
     touched = sharding.rewrite(unique, placed, str(tmp_path / "out"))
