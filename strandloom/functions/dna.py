@@ -128,9 +128,17 @@ def minimizer(x: Column, k: int, g: int | None = None, ends: bool = True) -> Col
     g = default_g(k) if g is None else g
     if not 1 <= g <= k - 2:
         raise ValueError("g must be from 1 to k - 2")
-    at = range(k - g + 1) if ends else range(1, k - g)
-    parts = [rep(F.shiftrightunsigned(x, 2 * (k - g - i)).bitwiseAND(lit(mask(g))), g) for i in at]
-    return F.least(*[F.struct(F.xxhash64(p).alias("h"), p.alias("g")) for p in parts])["g"]
+    first, last = (0, k - g) if ends else (1, k - g - 1)
+
+    def at(y: Column, i: Column) -> Column:
+        return F.call_function("shiftrightunsigned", y, 2 * (k - g - i)).bitwiseAND(lit(mask(g)))
+
+    # The twin of the g-mer at i is the g-mer at k - g - i of the k-mer's twin, which is bound once.
+    def least_of(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda i: F.least(at(x, i), at(t, k - g - i)))
+        return F.array_min(F.transform(grams, lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("g"))))["g"]
+
+    return F.element_at(F.transform(F.array(twin(x, k)), least_of), 1)
 
 
 def substitutions(x: Column, k: int) -> Column:

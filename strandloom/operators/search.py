@@ -56,9 +56,11 @@ def search_colors(colors: DataFrame, records: DataFrame, k: int, name_col: str =
     return out.select("name", "color", "n_query", "n_found", (F.col("n_found") / F.col("n_query")).alias("ratio"))
 
 
-def color_matrix(hits: DataFrame, colors: list, value: str = "n_found") -> DataFrame:
-    """One row a query with a hit, one column a color; ``colors`` are listed so that no pass is needed to find them."""
-    return hits.groupBy("name").pivot("color", colors).agg(F.first(value)).na.fill(0)
+def color_matrix(hits: DataFrame, names: DataFrame, colors: list, value: str = "n_found") -> DataFrame:
+    """One row for each of ``names(name)``, one column a color, 0 where there is no hit; ``colors`` are listed so that no pass is needed to find them."""
+    cells = hits.groupBy(F.col("name").alias("h_name")).pivot("color", colors).agg(F.first(value))
+    out = names.select("name").distinct().join(cells, F.col("name").eqNullSafe(F.col("h_name")), "left")
+    return out.drop("h_name").na.fill(0, [str(c) for c in colors])
 
 
 def color_presence(colors: DataFrame, records: DataFrame, k: int, min_ratio: float, name_col: str = "name", seq_col: str = "seq") -> DataFrame:
@@ -86,6 +88,12 @@ def find(index: DataFrame, records: DataFrame, k: int, name_col: str = "name", s
     return hits.select("name", "pos", "unitig_id", "dist", (F.col("strand") == F.col("q_strand")).alias("strand"))
 
 
+def find_minimizers(index: DataFrame, minimizers: DataFrame, k: int, g: int | None = None) -> DataFrame:
+    """``minimizer, unitig_id, pos``: every k-mer of the graph whose minimizer is one of ``minimizers(minimizer)``, packed g-mers."""
+    held = index.select(dna.minimizer(F.col("kmer"), k, g).alias("minimizer"), "unitig_id", "pos")
+    return held.join(minimizers.select("minimizer").distinct(), "minimizer", "left_semi")
+
+
 def mapping_runs(index: DataFrame, records: DataFrame, k: int, name_col: str = "name", seq_col: str = "seq") -> DataFrame:
     """``name, pos, unitig_id, dist, len, size, strand``: maximal runs of consecutive windows along one unitig and strand."""
     hits = find(index, records, k, name_col, seq_col)

@@ -41,8 +41,8 @@ def bfs(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFra
     return seen
 
 
-def superbubbles(edges: DataFrame, most: int = 32) -> DataFrame:
-    """``entry, entry_strand, exit, exit_strand, n_inside`` of superbubbles closed within ``most`` steps.
+def superbubbles(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """``entry, entry_strand, exit, exit_strand, n_inside`` of superbubbles, or only of those closed within ``most`` steps.
 
     All entries advance at once. From an entry, a vertex is passed once all its predecessors are; a walk ends as
     a superbubble when one vertex is left to pass and nothing waits, and fails at a dead end, at a way
@@ -54,7 +54,9 @@ def superbubbles(edges: DataFrame, most: int = 32) -> DataFrame:
     out_degree = e.groupBy("a").agg(F.count("*").alias("n_out"))
     ready = out_degree.where("n_out > 1").select(F.col("a").alias("s"), F.col("a").alias("v"))
     waiting, passed, done = None, None, None
-    for _ in range(most):
+    step = 0
+    while most is None or step < most:  # each step passes a vertex or ends a walk
+        step += 1
         ready = materialize(ready, "ready")
         if not ready.limit(1).count():
             break

@@ -5,6 +5,8 @@ The tables hold no DNA: text is read as DNA (functions.dna.text_to_dna). K-mers
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,10 @@ from strandloom.functions import dna
 from strandloom.operators import colors as C
 from strandloom.operators import compact as G
 from strandloom.operators import clean, edit, kmers, payload, search, walk
-from strandloom.sources import fastx, gfa
+from strandloom.sources import fastx, files, gfa
 
 from .graph import Graph
-from .stage import number_rows, spread
+from .stage import number_rows, shared_dir, spread
 
 K = 21
 G_K = 31
@@ -92,11 +94,11 @@ _TALKS = f"{_with('q', 'conversations', 'text', K, 'conv_id')},\nt AS (SELECT co
 
 
 @query(f"""WITH {_docs_sql(K, 'doc_id')} SELECT doc_id, pos, w AS kmer, {_rc('w')} AS twin, {_canon('w')} AS rep, substring(w, 2) || 'A' AS forward_a, 'T' || substring(w, 1, {K - 1}) AS backward_t,
-substring(w, 5, 1) AS base_4, substring(w, 1, 4) || 'G' || substring(w, 6) AS set_4 FROM d WHERE pos % 64 = 0""")
+substring(w, 5, 1) AS base_4, substring(w, 1, 4) || 'G' || substring(w, 6) AS set_4 FROM d""")
 def kmer_functions(spark, sf_dir):
-    """Every 64th window with its twin, canonical form, extensions and edits, by packed arithmetic."""
+    """Every window with its twin, canonical form, extensions and edits, by packed arithmetic."""
     x = F.col("oriented")
-    at = kmers.positioned(_documents(spark, sf_dir, "doc_id"), K, ["doc_id"]).where("pos % 64 = 0")
+    at = kmers.positioned(_documents(spark, sf_dir, "doc_id"), K, ["doc_id"])
     s = lambda c: dna.unpack(c, K)
     return at.select(
         "doc_id", F.col("pos").cast("long").alias("pos"), s(x).alias("kmer"), s(dna.twin(x, K)).alias("twin"), s(dna.rep(x, K)).alias("rep"), s(dna.forward(x, 0, K)).alias("forward_a"), s(dna.backward(x, 3, K)).alias("backward_t"),
@@ -289,15 +291,18 @@ def color_ratio(spark, sf_dir):
     return search.search_colors(_colored(spark, sf_dir), _items(spark, sf_dir), K).select("name", "color", "ratio")
 
 
-_MATRIX = ", ".join(f"CAST(sum(CASE WHEN color = 'src{i}' THEN n_found ELSE 0 END) AS BIGINT) AS src{i}" for i in range(4))
+SOURCES = [f"src{i}" for i in range(20)]
+
+
+def _matrix(value: str, kind: str) -> str:
+    return ", ".join(f"CAST(coalesce(sum(CASE WHEN color = '{s}' THEN {value} END), 0) AS {kind}) AS {s}" for s in SOURCES)
 
 
-@query(f"WITH {_COLORS},{_ITEMS},\n{_HITS}\nSELECT name, {_MATRIX} FROM h WHERE color IN ('src0','src1','src2','src3') GROUP BY 1")
+@query(f"WITH {_COLORS},{_ITEMS},\n{_HITS}\nSELECT t.name, {_matrix('n_found', 'BIGINT')} FROM t LEFT JOIN h ON t.name = h.name GROUP BY 1")
 def color_count_matrix(spark, sf_dir):
-    """The result matrix for four colors: a row a query with a hit in them, a column a color."""
-    names = [f"src{i}" for i in range(4)]
-    hits = search.search_colors(_colored(spark, sf_dir), _items(spark, sf_dir), K).where(F.col("color").isin(names))
-    return search.color_matrix(hits, names)
+    """The result matrix: a row a query, a column a color (each source of the table)."""
+    items = _items(spark, sf_dir)
+    return search.color_matrix(search.search_colors(_colored(spark, sf_dir), items, K), items, SOURCES)
 
 
 _PRESENT_COLORS = "p AS (SELECT h.name, color FROM h JOIN t ON h.name = t.name WHERE n_found >= greatest(1, CAST(round(n_query * 0.5::DOUBLE) AS BIGINT)))"
@@ -308,6 +313,14 @@ def color_presence(spark, sf_dir):
     return search.color_presence(_colored(spark, sf_dir), _items(spark, sf_dir), K, 0.5)
 
 
+@query(f"WITH {_COLORS},{_ITEMS},\n{_HITS},\n{_PRESENT_COLORS}\nSELECT t.name, {_matrix('1', 'INTEGER')} FROM t LEFT JOIN p ON t.name = p.name GROUP BY 1")
+def color_presence_matrix(spark, sf_dir):
+    """1 where a color has half of a query's k-mers or more, else 0."""
+    items = _items(spark, sf_dir)
+    there = search.color_presence(_colored(spark, sf_dir), items, K, 0.5).withColumn("there", F.lit(1))
+    return search.color_matrix(there, items, SOURCES, "there")
+
+
 @query(f"""WITH {_COLORS},{_ITEMS},\n{_HITS},\n{_PRESENT_COLORS}
 SELECT t.name, coalesce(n, 0) AS n_colors, CAST(coalesce(n, 0) >= 2 AS INTEGER) AS present FROM t LEFT JOIN (SELECT name, count(*) AS n FROM p GROUP BY 1) p ON t.name = p.name""")
 def color_presence_min2(spark, sf_dir):
@@ -550,10 +563,13 @@ def checksum(spark, sf_dir):
 
 # ---------------------------------------------------------------- mappings
 
-_MAPPED = f"""{_U31},{_with('q', 'benchmark', 'text', G_K, 'item_id')},
+_FINDS = f"""{_with('q', 'benchmark', 'text', G_K, 'item_id')},
 f AS (SELECT item_id, pos, mem.head, mem.d, w = mem.x AS strand FROM q JOIN (SELECT mem.* FROM mem SEMI JOIN u ON mem.head = u.head) mem ON {_canon('w')} = {_canon('mem.x')})"""
 
 
+_MAPPED = f"{_U31},{_FINDS}"
+
+
 @query(f"WITH {_MAPPED} SELECT item_id AS name, pos, head, CAST(d AS BIGINT) AS dist, strand FROM f")
 def find_kmers(spark, sf_dir):
     """Where each 31-mer of the benchmark items lies: unitig (by its first k-mer), place and strand."""
@@ -569,10 +585,11 @@ def find_ends(spark, sf_dir):
     return g.find(_items(spark, sf_dir), ends_only=True).join(heads, "unitig_id").select("name", F.col("pos").cast("long").alias("pos"), "head", F.col("dist").cast("long").alias("dist"), "strand")
 
 
-_RUNS = f"""{_MAPPED},
+_RUN = """
 g AS (SELECT item_id, pos, head, d, strand, CASE WHEN strand THEN pos - d ELSE pos + d END AS diag FROM f),
 r AS (SELECT *, pos - row_number() OVER (PARTITION BY item_id, head, strand, diag ORDER BY pos) AS run FROM g),
 m AS (SELECT item_id AS name, min(pos) AS pos, head, CAST(min(d) AS BIGINT) AS dist, count(*) AS len, strand FROM r GROUP BY item_id, head, strand, diag, run)"""
+_RUNS = f"{_MAPPED},{_RUN}"
 
 
 @query(f"WITH {_RUNS} SELECT name, pos, head, dist, len, strand FROM m")
@@ -629,6 +646,89 @@ def unitig_colors(spark, sf_dir):
     return C.unitig_colors(g.index, g.colors).join(g.unitigs.select("unitig_id", "seq"), "unitig_id").select("seq", "color", "n", "full")
 
 
+_MCOLORS = f"""{_UCOLORS},{_FINDS},{_RUN},
+mc AS (SELECT m.name, m.pos, m.head, m.dist, m.len, m.strand, color, count(*) AS n
+  FROM m JOIN mem ON m.head = mem.head AND mem.d >= m.dist AND mem.d < m.dist + m.len JOIN c ON {_canon('mem.x')} = c.kmer GROUP BY ALL)"""
+
+
+def _mapping_colors(spark, sf_dir, every: bool):
+    docs = _documents(spark, sf_dir, "lang")
+    g = Graph.build(G_K, seq=docs, color_col="lang")
+    heads = g.unitigs.select("unitig_id", dna.unpack(F.col("head"), G_K).alias("head"))
+    found = C.mapping_colors(g.index, g.colors, g.mappings(_items(spark, sf_dir)), every)
+    return found.join(heads, "unitig_id").select("name", F.col("pos").cast("long").alias("pos"), "head", F.col("dist").cast("long").alias("dist"), "len", "strand", "color")
+
+
+@query(f"WITH {_MCOLORS} SELECT name, pos, head, dist, len, strand, color FROM mc")
+def mapping_colors(spark, sf_dir):
+    """Colors on some k-mer of each mapping of the benchmark items."""
+    return _mapping_colors(spark, sf_dir, False)
+
+
+@query(f"WITH {_MCOLORS} SELECT name, pos, head, dist, len, strand, color FROM mc WHERE n = len")
+def mapping_colors_every(spark, sf_dir):
+    """Colors on every k-mer of each mapping."""
+    return _mapping_colors(spark, sf_dir, True)
+
+
+@query(None)
+def find_minimizers(spark, sf_dir):
+    """Unitigs and places that the minimizers of the benchmark items lead to; tested against brute force."""
+    g = _graph(spark, sf_dir)
+    asked = kmers.distinct_kmers(_items(spark, sf_dir), G_K).select(dna.minimizer(F.col("kmer"), G_K, g.g).alias("minimizer"))
+    return g.find_minimizers(asked).select(dna.unpack(F.col("minimizer"), g.g).alias("minimizer"), "unitig_id", "pos")
+
+
+# ---------------------------------------------------------------- files, written and read again
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_read('text')} AS seq FROM documents) SELECT CAST(doc_id AS VARCHAR) AS name, CAST(length(seq) AS BIGINT) AS n, md5(seq) AS seq FROM s")
+def fasta_round_trip(spark, sf_dir):
+    """All documents as gzipped FASTA, scanned again."""
+    path = _folder(spark, "fasta")
+    fastx.write_fasta(_documents(spark, sf_dir, "doc_id"), path, "doc_id")
+    return fastx.read_fasta(spark, path).select("name", F.char_length("seq").cast("long").alias("n"), F.md5("seq").alias("seq"))
+
+
+@query(f"WITH s AS (SELECT doc_id, {_read('text')} AS seq FROM documents) SELECT CAST(doc_id AS VARCHAR) AS name, md5(seq) AS seq, md5(translate(seq, 'ACGTN', '@ABC#')) AS qual FROM s")
+def fastq_round_trip(spark, sf_dir):
+    """All documents as FASTQ, a quarter of the qualities beginning with '@', scanned again."""
+    path = _folder(spark, "fastq")
+    d = _documents(spark, sf_dir, "doc_id")
+    d.select(F.concat(F.lit("@"), F.col("doc_id").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.translate("seq", "ACGTN", "@ABC#"))).write.text(path)
+    return fastx.read_fastq(spark, path).select("name", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
+
+
+@query(f"WITH {_U31} SELECT seq, n_kmers, is_cycle FROM u")
+def gfa_round_trip(spark, sf_dir):
+    """The graph as gzipped GFA, read again and compacted."""
+    path = _folder(spark, "gfa")
+    _graph(spark, sf_dir).to_gfa(path)
+    segments, _, tags = gfa.read_gfa(spark, path)
+    return Graph.from_segments(segments, int(tags["KL"]), int(tags["ML"])).unitigs.select("seq", "n_kmers", "is_cycle")
+
+
+@query(f"WITH {_UCOLORS} SELECT seq, color, count(*) AS n, count(*) = max(n_kmers) AS \"full\" FROM u JOIN mem ON u.head = mem.head JOIN c ON {_canon('mem.x')} = c.kmer GROUP BY 1, 2")
+def graph_round_trip(spark, sf_dir):
+    """The colored graph saved with its index and colors, and loaded as it was."""
+    path = _folder(spark, "graph")
+    Graph.build(G_K, seq=_documents(spark, sf_dir, "lang"), color_col="lang").save(path)
+    g = Graph.load(spark, path)
+    return C.unitig_colors(g.index, g.colors).join(g.unitigs.select("unitig_id", "seq"), "unitig_id").select("seq", "color", "n", "full")
+
+
+@query(_found_sql(_ITEMS, "item_id", _COUNT))
+def tsv_round_trip(spark, sf_dir):
+    """A query's result as tab-separated text, read again."""
+    path = _folder(spark, "tsv")
+    files.write_tsv(query_count(spark, sf_dir), path)
+    return spark.read.option("sep", "\t").option("header", True).csv(path, schema="name bigint, n_query bigint, n_found bigint")
+
+
 # ---------------------------------------------------------------- output formats and walks
 
 
@@ -680,7 +780,7 @@ def successors(spark, sf_dir):
 
 @query(None)
 def superbubbles(spark, sf_dir):
-    """Superbubbles closed within 16 steps, from both ends; tested against a brute-force walk on small graphs."""
-    return _graph(spark, sf_dir).superbubbles(16)
+    """All superbubbles, from both ends; tested against a brute-force walk on small graphs."""
+    return _graph(spark, sf_dir).superbubbles()
 
 

@@ -170,6 +170,9 @@ class Graph:
     def find(self, records: DataFrame, name_col: str = "name", ends_only: bool = False) -> DataFrame:
         return search.find(self.index, records, self.k, name_col, ends_only=ends_only, sizes=self.unitigs)
 
+    def find_minimizers(self, minimizers: DataFrame) -> DataFrame:
+        return search.find_minimizers(self.index, minimizers, self.k, self.g)
+
     def mappings(self, records: DataFrame, name_col: str = "name") -> DataFrame:
         return search.mapping_runs(self.index, records, self.k, name_col)
 
@@ -182,7 +185,7 @@ class Graph:
     def components(self) -> DataFrame:
         return walk.components(self.unitigs, self.edges)
 
-    def superbubbles(self, most: int = 32) -> DataFrame:
+    def superbubbles(self, most: int | None = None) -> DataFrame:
         return walk.superbubbles(self.edges, most)
 
     def save(self, path: str) -> None:

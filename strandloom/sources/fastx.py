@@ -20,13 +20,17 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records of four lines. A quality that begins with '@' splits a record in two; such halves are joined again."""
+    """Records of four lines. A quality that begins with '@' splits a record in two; such halves are joined again.
+
+    The separator takes the line end of an empty quality: such a record has three lines and no bases.
+    """
     raw = spark.read.text(paths, lineSep="\n@")
     rows = raw.select(F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("l"))
     rows = rows.withColumn("n", F.size("l"))
-    whole = rows.where("n = 4").select("file_name", "l", F.element_at("l", 4).alias("qual"))
+    bare = (F.col("n") == 3) & (F.get("l", F.lit(1)) == "")
+    whole = rows.where((F.col("n") == 4) | bare).select("file_name", "l", F.coalesce(F.get("l", F.lit(3)), F.lit("")).alias("qual"))
     nxt = F.lead("l").over(W.partitionBy("file_name").orderBy("at", "row"))
-    halves = rows.where("n in (1, 3)").withColumn("next", nxt).where("n = 3").select("file_name", "l", F.concat(F.lit("@"), F.get("next", F.lit(0))).alias("qual"))
+    halves = rows.where(F.col("n").isin(1, 3) & ~bare).withColumn("next", nxt).where("n = 3").select("file_name", "l", F.concat(F.lit("@"), F.get("next", F.lit(0))).alias("qual"))
     out = whole.union(halves)
     head = F.regexp_replace(F.get("l", F.lit(0)), "^@", "")  # the file's first record still has it
     return out.select("file_name", F.substring_index(head, " ", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("comment"), F.get("l", F.lit(1)).alias("seq"), "qual")

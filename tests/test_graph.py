@@ -212,3 +212,36 @@ def test_walks(spark):
     assert got == {(1, "+", 4, "+", 2), (4, "-", 1, "-", 2)}
     start = spark.createDataFrame([(1, "+")], "unitig_id long, strand string")
     assert {r.neighbour for r in walk.neighbours(e, start).collect()} == {2, 3} and walk.neighbours(e, start, successors=False).count() == 0
+
+
+def test_minimizers(spark):
+    from xxhash import xxh64_intdigest
+
+    def code(s):
+        return sum("ACGT".index(c) << 2 * (len(s) - 1 - i) for i, c in enumerate(s))
+
+    def least(w, g, ends):
+        h = lambda v: (xxh64_intdigest(v.to_bytes(8, "little"), 42) + (1 << 63)) % (1 << 64)
+        grams = [code(canon(w[i : i + g])) for i in range(0 if ends else 1, len(w) - g + (1 if ends else 0))]
+        return min(grams, key=lambda v: (h(v), v))
+
+    rng, k, g = random.Random(5), 11, 4
+    seqs = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(6)]
+    ks = sorted(brute_kmers(seqs, k))
+    rows = spark.createDataFrame([(x, code(x)) for x in ks], "s string, kmer bigint")
+    for ends in (True, False):
+        got = {r.s: r.m for r in rows.select("s", dna.minimizer(F.col("kmer"), k, g, ends).alias("m")).collect()}
+        assert got == {x: least(x, g, ends) for x in ks}
+    graph = Graph(k, table(spark, seqs, k), g=g)
+    wanted = {least(x, g, True) for x in ks[:5]}
+    asked = spark.createDataFrame([(m,) for m in sorted(wanted)] * 2, "minimizer bigint")
+    place = {r.kmer: (r.unitig_id, r.pos) for r in graph.index.collect()}
+    got = sorted(tuple(r) for r in graph.find_minimizers(asked).select("minimizer", "unitig_id", "pos").collect())
+    assert got == sorted((least(x, g, True), *place[code(x)]) for x in ks if least(x, g, True) in wanted)
+
+
+def test_color_matrix(spark):
+    hits = spark.createDataFrame([("a", "x", 2), ("b", "y", 3), ("a", "y", 1)], "name string, color string, n_found bigint")
+    names = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "name string")
+    got = {r.name: (r.x, r.y, r.z) for r in search.color_matrix(hits, names, ["x", "y", "z"]).collect()}
+    assert got == {"a": (2, 1, 0), "b": (0, 3, 0), "c": (0, 0, 0), None: (0, 0, 0)}

@@ -11,16 +11,16 @@ def test_fasta_and_fastq(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">x one two\nACGT\nAC\n>y\nGG\n\n>empty\n")
     with gzip.open(tmp_path / "b.fa.gz", "wt") as f:
         f.write(">z\r\nTT\r\nAA\r\n")
-    (tmp_path / "c.fq").write_text("@r1 c\nACGT\n+\nIIII\n@r2\nGGCC\n+r2\n@III\n@r3\nTTTT\n+\n@@@@\n")
+    (tmp_path / "c.fq").write_text("@r1 c\nACGT\n+\nIIII\n@r2\nGGCC\n+r2\n@III\n@r3\nTTTT\n+\n@@@@\n@bare\n\n+\n\n@r4\nA\n+\nI\n@end\n\n+\n\n")
     got = {(r.name, r.comment, r.seq) for r in fastx.read_fasta(spark, [str(tmp_path / "a.fa"), str(tmp_path / "b.fa.gz")]).collect()}
     assert got == {("x", "one two", "ACGTAC"), ("y", "", "GG"), ("empty", "", ""), ("z", "", "TTAA")}
     got = {(r.name, r.seq, r.qual) for r in fastx.read_fastq(spark, str(tmp_path / "c.fq")).collect()}
-    assert got == {("r1", "ACGT", "IIII"), ("r2", "GGCC", "@III"), ("r3", "TTTT", "@@@@")}
+    assert got == {("r1", "ACGT", "IIII"), ("r2", "GGCC", "@III"), ("r3", "TTTT", "@@@@"), ("bare", "", ""), ("r4", "A", "I"), ("end", "", "")}
     assert files.sniff(spark, str(tmp_path / "a.fa")) == "fasta" and files.sniff(spark, str(tmp_path / "c.fq")) == "fastq"
     (tmp_path / "list.txt").write_text(f"{tmp_path}/a.fa\n{tmp_path}/c.fq\n")
     paths = files.expand(spark, str(tmp_path / "list.txt"))
     rows = files.read_sequences(spark, paths)
-    assert {(r.file_id, r.name) for r in rows.collect()} == {(0, "x"), (0, "y"), (0, "empty"), (1, "r1"), (1, "r2"), (1, "r3")}
+    assert {(r.file_id, r.name) for r in rows.collect()} == {(0, "x"), (0, "y"), (0, "empty"), (1, "r1"), (1, "r2"), (1, "r3"), (1, "bare"), (1, "r4"), (1, "end")}
     assert files.output_name("g", "gfa", True) == "g.gfa.gz" and files.output_name("g.fasta", "fasta") == "g.fasta"
 
 
