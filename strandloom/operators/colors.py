@@ -36,9 +36,11 @@ def unitig_colors(index: DataFrame, colors: DataFrame) -> DataFrame:
 def mapping_colors(index: DataFrame, colors: DataFrame, mappings: DataFrame, every: bool = False) -> DataFrame:
     """``mappings`` columns and ``color`` for each color on some (or every) k-mer of mappings(unitig_id, dist, len)."""
     cols = mappings.columns
-    inside = mappings.join(index.select(F.col("unitig_id").alias("i_id"), "pos", "kmer"), (F.col("unitig_id") == F.col("i_id")) & (F.col("pos") >= F.col("dist")) & (F.col("pos") < F.col("dist") + F.col("len")))
-    n = inside.join(colors, "kmer").groupBy(*cols, "color").agg(F.count("*").alias("n"))
-    return (n.where(F.col("n") == F.col("len")) if every else n).select(*cols, "color")
+    places = index.select(F.col("unitig_id").alias("i_id"), F.col("pos").alias("i_pos"), F.col("kmer").alias("i_kmer"))
+    inside = mappings.join(places, (F.col("unitig_id") == F.col("i_id")) & (F.col("i_pos") >= F.col("dist")) & (F.col("i_pos") < F.col("dist") + F.col("len")))
+    colored = inside.join(colors.select(F.col("kmer").alias("c_kmer"), F.col("color").alias("c_color")), F.col("i_kmer") == F.col("c_kmer"))
+    n = colored.groupBy(*cols, "c_color").agg(F.countDistinct("i_pos").alias("c_n"))
+    return (n.where(F.col("c_n") == F.col("len")) if every else n).select(*cols, F.col("c_color").alias("color"))
 
 
 def color_bitmaps(colors: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
-from strandloom.operators import clean, compact, edit, kmers, search, walk
+from strandloom.operators import clean, colors, compact, edit, kmers, search, walk
 from strandloom.plans.graph import Graph
 
 PAIR = str.maketrans("ACGT", "TGCA")
@@ -245,3 +245,24 @@ def test_color_matrix(spark):
     names = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "name string")
     got = {r.name: (r.x, r.y, r.z) for r in search.color_matrix(hits, names, ["x", "y", "z"]).collect()}
     assert got == {"a": (2, 1, 0), "b": (0, 3, 0), "c": (0, 0, 0), None: (0, 0, 0)}
+
+
+def test_mapping_colors(spark):
+    rng, k = random.Random(8), 7
+    base = "".join(rng.choice("ACGT") for _ in range(60))
+    inputs = {"x": base[:40], "y": base[20:], "z": base[25:35]}
+    rows = spark.createDataFrame(list(inputs.items()), "file string, seq string")
+    g = Graph.build(k, ref=rows, color_col="file")
+    asked = spark.createDataFrame([("q", base), ("r", rc(base[10:50]))], "name string, seq string")
+    maps = g.mappings(asked)
+    seqs = {r.name: r.seq for r in asked.collect()}
+    own = {c: brute_kmers([s], k) for c, s in inputs.items()}
+    some, every = set(), set()
+    for m in maps.collect():
+        ks = {canon(seqs[m.name][i : i + k]) for i in range(m.pos, m.pos + m.len)}
+        some |= {(m.name, m.pos, m.len, c) for c in own if ks & own[c]}
+        every |= {(m.name, m.pos, m.len, c) for c in own if ks <= own[c]}
+    for want, flag in ((some, False), (every, True)):
+        got = [tuple(r) for r in colors.mapping_colors(g.index, g.colors, maps, flag).select("name", "pos", "len", "color").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert every < some
