@@ -12,10 +12,15 @@ if they share such a key. Lists by key have at most 33 members, so nothing grows
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows with a null id
 take part; a component whose ids are all null has a null component_id. Equal rows are kept.
+
+``deduplicate_similar`` links by the share of common shingles instead. Its fingerprint has a min-hash for each
+position; posting keys hold four positions, and every pair that meets is verified on whole shingle sets. Long
+postings compare each member with a leader; the triangle inequality of Jaccard distances tells who else may be linked.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,22 +35,31 @@ from .scratch import bounded_batches, materialize, shield
 
 PAIRS = list(combinations(range(4), 2))
 SHORT_POSTING = 16
+#: Min-hashes of a fingerprint and how many a posting key holds: of pairs with a similarity of 0.8, 3 in a million share no key.
+POSITIONS, HELD = 96, 4
 
 
-def simhash(text: str | None, size: int = 3) -> int:
-    """Fingerprint of one text; bits set in over half of the shingle hashes."""
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Hashes of a text's shingles in order; one of all words where the text is shorter, none where it has no words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined, n = b" ".join(words), len(words)
     lengths = np.fromiter(map(len, words), np.int64, n) + 1
     starts = np.concatenate(([0], np.cumsum(lengths)))
     last = max(1, n - size + 1)
     lo = starts[:last].tolist()
     hi = (starts[min(size, n) :] - 1).tolist()
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(lo, hi, strict=True)], dtype="<u8")
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(lo, hi, strict=True)], dtype="<u8")
+
+
+def simhash(text: str | None, size: int = 3) -> int:
+    """Fingerprint of one text; bits set in over half of the shingle hashes."""
+    hashes = shingles(text, size)
+    if not len(hashes):
+        return 0
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):  # long texts in blocks
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -142,3 +156,101 @@ def deduplicate(docs: DataFrame, size: int = 3, bits: int = 2, id_col: str = "do
     root = F.coalesce("component", "fp")
     first = rows.groupBy(root.alias("root")).agg(F.min(F.struct(F.col("d_id").isNull(), F.col("d_id"), F.col("d_key"))).alias("m"))
     return keyed.join(first.select(F.col("m.d_key").alias("d_key")), "d_key", "left_semi").drop("d_key").toDF(*docs.columns)
+
+
+def min_hashes(found: np.ndarray) -> np.ndarray:
+    """The least value of the shingle hashes under each of POSITIONS mixes."""
+    mixes = np.random.default_rng(42).integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), 4096):  # long texts in blocks
+        mixed = found[i : i + 4096, None] * mixes
+        mixed ^= mixed >> np.uint64(32)
+        least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+    return least
+
+
+def signatures(docs: DataFrame, size: int, key_col: str, text_col: str) -> DataFrame:
+    """``key, same, postings``: a digest of the shingle set, equal for equal sets, and its posting keys."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            same, postings = [], []
+            for text in b.column(1).to_pylist():
+                found = np.unique(shingles(text, size))
+                same.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                least = min_hashes(found).reshape(-1, HELD) if len(found) else []
+                postings.append(np.array([xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(postings, pa.list_(pa.int64()))], ["key", "same", "postings"])
+
+    return docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "key bigint, same binary, postings array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, size: int, key_col: str, text_col: str) -> DataFrame:
+    """``node, found``: the different shingle hashes of every row."""
+    bounded_batches(docs.sparkSession, 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingles(text, size)).view(np.int64) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
+
+    return docs.select(F.col(key_col).alias("node"), F.col(text_col).alias("text")).mapInArrow(run, "node bigint, found array<bigint>")
+
+
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with ``sim``, the share of common shingles of both."""
+    x, y = sets.select(F.col("node").alias("a"), F.col("found").alias("x")), sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("sum"))
+    return both.select("a", "b", (F.col("n") / (F.col("sum") - F.col("n"))).alias("sim"))
+
+
+def similar_links(index: DataFrame, sets: DataFrame, similarity: float, short: int = SHORT_POSTING) -> DataFrame:
+    """``a, b``: verified links that connect all pairs of ``similarity`` or more that share a posting of ``index(posting, node)``.
+
+    In short postings all pairs are compared. In long ones all are compared with a leader and leave the posting
+    if linked to it; the others go on to the next round, and meet those that left as far as their distances to
+    the leader allow a link. Nothing is left out, and rows grow with a group's size, not its square, where it has a center.
+    """
+    order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    done = None
+    while True:
+        first = F.min(F.struct(F.xxhash64("posting", "node").alias("h"), "node"))
+        sizes = index.groupBy("posting").agg(F.count("*").alias("n"), first["node"].alias("leader")).where("n > 1")
+        post = materialize(index.join(sizes, "posting"), "similar-postings")
+        few, many = post.where(F.col("n") <= short), post.where((F.col("n") > short) & (F.col("node") != F.col("leader")))
+        x, y = few.select("posting", F.col("node").alias("a")), few.select("posting", F.col("node").alias("b"))
+        pairs = x.join(y, "posting").where("a < b").select("a", "b").union(many.select(*order("node", "leader"))).distinct()
+        known = materialize(similarities(pairs, sets), "similarities")
+        near = known.where(F.col("sim") >= similarity).select("a", "b")
+        done = near if done is None else done.union(near)
+        if not many.limit(1).count():
+            return materialize(done.distinct(), "similar-links")
+        led = many.select("posting", "node", "leader", *order("node", "leader")).join(known, ["a", "b"]).select("posting", "node", (1 - F.col("sim")).alias("far"))
+        led = materialize(led, "led")
+        reach = 1 - similarity + 1e-9  # a link's longest distance
+        left, on = led.where(F.col("far") <= reach), led.where(F.col("far") > reach)
+        ring = on.where(F.col("far") <= 2 * reach).select("posting", F.col("node").alias("r_node"), F.col("far").alias("r_far"))
+        pairs = ring.join(left, "posting").where(F.col("r_far") - F.col("far") <= reach).select(*order("r_node", "node")).distinct()
+        done = done.union(materialize(similarities(pairs, sets).where(F.col("sim") >= similarity).select("a", "b"), "ring-links"))
+        index = on.select("posting", "node")
+
+
+def deduplicate_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of texts that share ``similarity`` or more of their shingles: the row ``deduplicate`` would take."""
+    inner, at = shield(docs)
+    id_col, text_col = at[id_col], at[text_col]
+    keyed = materialize(inner.withColumn("d_key", F.monotonically_increasing_id()), "dedup-input")
+    found = materialize(signatures(keyed, size, "d_key", text_col), "signatures")
+    sets_of = materialize(found.groupBy("same").agg(F.min("key").alias("node")), "distinct-sets")
+    index = found.join(sets_of.select(F.col("node").alias("key")), "key", "left_semi").select(F.explode("postings").alias("posting"), F.col("key").alias("node"))
+    shared = index.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1").select("posting")
+    index = materialize(index.join(shared, "posting"), "shared-postings")
+    texts = keyed.select("d_key", text_col).join(index.select(F.col("node").alias("d_key")).distinct(), "d_key", "left_semi")
+    sets = materialize(shingle_sets(texts, size, "d_key", text_col), "shingle-sets")
+    labels = connected_components(similar_links(index, sets, similarity)).withColumnRenamed("node", "l_node")
+    rows = keyed.select("d_key", F.col(id_col).alias("d_id")).join(found.select(F.col("key").alias("d_key"), "same"), "d_key").join(sets_of, "same").join(labels, F.col("node") == F.col("l_node"), "left")
+    first = rows.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min(F.struct(F.col("d_id").isNull(), F.col("d_id"), F.col("d_key"))).alias("m"))
+    return keyed.join(first.select(F.col("m.d_key").alias("d_key")), "d_key", "left_semi").drop("d_key").toDF(*docs.columns)
