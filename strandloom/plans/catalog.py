@@ -762,10 +762,10 @@ walk AS (SELECT head AS id, 0 AS level FROM u WHERE {_canon('head')} = (SELECT m
   UNION SELECT ue.dst, level + 1 FROM walk JOIN ue ON walk.id = ue.src WHERE level < 6)
 SELECT seq, CAST(min(level) AS BIGINT) AS level FROM walk JOIN u ON u.head = walk.id GROUP BY 1""")
 def bfs_levels(spark, sf_dir):
-    """Breadth-first levels, up to 6, around the first unitig with two neighbours or more."""
+    """Breadth-first levels around the first unitig with two neighbours or more. The SQL ends at level 6, the query does not."""
     g = _graph(spark, sf_dir)
     start = g.degrees().where("n_in + n_out > 1").agg(F.min("unitig_id").alias("unitig_id"))
-    return walk.bfs(g.edges, start, 6).join(g.unitigs.select("unitig_id", "seq"), "unitig_id").select("seq", F.col("level").cast("long").alias("level"))
+    return walk.bfs(g.edges, start).join(g.unitigs.select("unitig_id", "seq"), "unitig_id").select("seq", F.col("level").cast("long").alias("level"))
 
 
 @query(f"WITH {_U31},\n{_ends_sql(G_K)} SELECT src, src_strand, dst AS neighbour, dst_strand AS neighbour_strand FROM ue WHERE src_strand = '+'")
