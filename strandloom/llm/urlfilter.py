@@ -18,9 +18,6 @@ from pyspark.sql import Window as W
 
 from .scratch import materialize, shield
 
-LABELS = 6
-DEPTH = 2
-
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -30,18 +27,23 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(url: Column) -> Column:
-    """Hosts above and at a URL's host (at most LABELS labels and the whole), and its host with 1 to DEPTH path parts."""
-    labels = F.split(host_of(url), r"\.")
+def keys_of(url: Column, labels: int, depth: int) -> Column:
+    """Hosts above and at a URL's host (at most ``labels`` labels and the whole), and its host with 1 to ``depth`` path parts."""
+    names = F.split(host_of(url), r"\.")
     parts = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
-    tails = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LABELS))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
-    heads = F.transform(
-        F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.least(F.size(parts), F.lit(DEPTH)))).otherwise(F.array().cast("array<int>")),
-        lambda n: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")),
-    )
+    upto = lambda a, most: F.when(F.least(F.size(a), F.lit(most)) > 0, F.sequence(F.lit(1), F.least(F.size(a), F.lit(most)))).otherwise(F.array().cast("array<int>"))
+    tails = F.transform(upto(names, labels), lambda n: F.array_join(F.slice(names, -n, n), "."))
+    heads = F.transform(upto(parts, depth), lambda n: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
     return F.when(host_of(url) != "", F.array_distinct(F.concat(tails, F.array(host_of(url)), heads)))
 
 
+def reach_of(spans: DataFrame) -> tuple[int, int]:
+    """The most labels and the most path parts of a key of ``spans``; nothing beyond can match."""
+    host = F.regexp_extract("key", "^[^/]*", 0)
+    most = spans.agg(F.max(F.size(F.split(host, r"\."))), F.max(F.size(F.split("key", "/")) - 1)).first()
+    return most[0] or 0, most[1] or 0
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """``key, action, since, until`` of ``entries(key, day, action)``: each entry until the key's next one."""
     clean = entries.where(F.col("key").isNotNull() & F.col("day").isNotNull()).groupBy(F.concat(F.lower(F.regexp_extract("key", "^[^/]*", 0)), F.regexp_extract("key", "/.*$", 0)).alias("key"), "day").agg(F.max(F.coalesce("action", F.lit("block"))).alias("action"))
@@ -53,8 +55,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     names = [c for c in captures.columns if c not in ("matched_key", "since", "blocked")]
     inner, at = shield(captures.select(*names))
     rows = materialize(inner.withColumn("u_row", F.monotonically_increasing_id()), "captures")
-    asked = rows.select("u_row", F.col(at[time_col]).alias("u_time"), F.explode(keys_of(F.col(at[url_col]))).alias("u_key"))
-    spans = validity(entries.select("key", "day", "action"))
+    spans = materialize(validity(entries.select("key", "day", "action")), "spans")
+    asked = rows.select("u_row", F.col(at[time_col]).alias("u_time"), F.explode(keys_of(F.col(at[url_col]), *reach_of(spans))).alias("u_key"))
     active = (F.col("u_key") == F.col("key")) & (F.col("u_time") >= F.col("since")) & (F.col("until").isNull() | (F.col("u_time") < F.col("until")))
     best = asked.join(spans, active).groupBy(F.col("u_row").alias("b_row")).agg(F.max(F.struct(F.length("key").alias("n"), "key", "since", "action")).alias("m"))
     out = rows.join(best, F.col("u_row") == F.col("b_row"), "left")
