@@ -57,10 +57,20 @@ def search_colors(colors: DataFrame, records: DataFrame, k: int, name_col: str =
 
 
 def color_matrix(hits: DataFrame, names: DataFrame, colors: list, value: str = "n_found") -> DataFrame:
-    """One row for each of ``names(name)``, one column a color, 0 where there is no hit; ``colors`` are listed so that no pass is needed to find them."""
-    cells = hits.groupBy(F.col("name").alias("h_name")).pivot("color", colors).agg(F.first(value))
-    out = names.select("name").distinct().join(cells, F.col("name").eqNullSafe(F.col("h_name")), "left")
-    return out.drop("h_name").na.fill(0, [str(c) for c in colors])
+    """One row for each of ``names(name)``, one column a color, 0 where there is no hit; ``colors`` are listed so that no pass is needed to find them.
+
+    A null color's column is named "null", with underscores behind it where a color has that name.
+    """
+    asked = names.select("name").distinct()
+    if not colors:
+        return asked
+    number = F.coalesce(*[F.when(F.col("color").eqNullSafe(F.lit(c)), F.lit(i)) for i, c in enumerate(colors)])
+    cells = hits.withColumn("color_number", number).groupBy(F.col("name").alias("h_name")).pivot("color_number", list(range(len(colors)))).agg(F.first(value))
+    out = asked.join(cells, F.col("name").eqNullSafe(F.col("h_name")), "left").drop("h_name").na.fill(0, [str(i) for i in range(len(colors))])
+    empty = "null"
+    while empty in colors:
+        empty += "_"
+    return out.toDF("name", *[empty if c is None else str(c) for c in colors])
 
 
 def color_presence(colors: DataFrame, records: DataFrame, k: int, min_ratio: float, name_col: str = "name", seq_col: str = "seq") -> DataFrame:

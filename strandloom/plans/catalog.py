@@ -294,6 +294,12 @@ def color_ratio(spark, sf_dir):
 SOURCES = [f"src{i}" for i in range(20)]
 
 
+def _colors_of(spark, sf_dir) -> list:
+    """The table's sources, a null one last; shorter names first, so that numbered ones are in the order of their numbers."""
+    names = [r.name for r in C.color_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source").collect()]  # one row a source
+    return sorted(names, key=lambda c: (c is None, len(c or ""), c or ""))
+
+
 def _matrix(value: str, kind: str) -> str:
     return ", ".join(f"CAST(coalesce(sum(CASE WHEN color = '{s}' THEN {value} END), 0) AS {kind}) AS {s}" for s in SOURCES)
 
@@ -302,7 +308,7 @@ def _matrix(value: str, kind: str) -> str:
 def color_count_matrix(spark, sf_dir):
     """The result matrix: a row a query, a column a color (each source of the table)."""
     items = _items(spark, sf_dir)
-    return search.color_matrix(search.search_colors(_colored(spark, sf_dir), items, K), items, SOURCES)
+    return search.color_matrix(search.search_colors(_colored(spark, sf_dir), items, K), items, _colors_of(spark, sf_dir))
 
 
 _PRESENT_COLORS = "p AS (SELECT h.name, color FROM h JOIN t ON h.name = t.name WHERE n_found >= greatest(1, CAST(round(n_query * 0.5::DOUBLE) AS BIGINT)))"
@@ -318,7 +324,7 @@ def color_presence_matrix(spark, sf_dir):
     """1 where a color has half of a query's k-mers or more, else 0."""
     items = _items(spark, sf_dir)
     there = search.color_presence(_colored(spark, sf_dir), items, K, 0.5).withColumn("there", F.lit(1))
-    return search.color_matrix(there, items, SOURCES, "there")
+    return search.color_matrix(there, items, _colors_of(spark, sf_dir), "there")
 
 
 @query(f"""WITH {_COLORS},{_ITEMS},\n{_HITS},\n{_PRESENT_COLORS}
