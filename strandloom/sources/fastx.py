@@ -5,9 +5,13 @@ Records: ``file_name, name, comment, seq, qual``; order within files is kept by
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from strandloom.plans.stage import materialize, ship
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -19,21 +23,73 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("file_name", F.substring_index("h", " ", 1).alias("name"), F.trim(F.regexp_replace("h", r"^\S*", "")).alias("comment"), "seq", F.lit(None).cast("string").alias("qual"))
 
 
-def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records of four lines. A quality that begins with '@' splits a record in two; such halves are joined again.
+def parse_fastq(file: str, lines: Iterable[str]) -> Iterator[tuple[str, str, str]]:
+    """``head, seq, qual`` of a file's lines: bases up to '+', then qualities until they are as many; blank lines between records are passed."""
+    head, seq, qual, size = None, [], [], -1  # size: bases of the record whose qualities are read, else -1
+    for line in lines:
+        if size < 0 and head is None:
+            if not line.strip():
+                continue
+            if not line.startswith("@"):
+                raise ValueError(f"{file}: a record begins with {line[:40]!r}, not with '@'")
+            head, seq, qual = line[1:], [], []
+        elif size < 0:
+            if line.startswith("+"):
+                size = sum(map(len, seq))
+            else:
+                seq.append(line.strip())
+        else:
+            qual.append(line)
+        if size >= 0 and (got := sum(map(len, qual))) >= size:
+            if got > size:
+                raise ValueError(f"{file}: {head[:40]!r} has {size} bases and more qualities")
+            yield head, "".join(seq), "".join(qual)
+            head, size = None, -1
+    if head is not None:
+        raise ValueError(f"{file}: the last record, {head[:40]!r}, is not whole")
 
-    The separator takes the line end of an empty quality: such a record has three lines and no bases.
-    """
+
+def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Records of any number of lines; what can't be parsed raises. Files of plain four-line records are read in parts, others one a task."""
+    ship(spark)
     raw = spark.read.text(paths, lineSep="\n@")
-    rows = raw.select(F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("l"))
-    rows = rows.withColumn("n", F.size("l"))
-    bare = (F.col("n") == 3) & (F.get("l", F.lit(1)) == "")
-    whole = rows.where((F.col("n") == 4) | bare).select("file_name", "l", F.coalesce(F.get("l", F.lit(3)), F.lit("")).alias("qual"))
-    nxt = F.lead("l").over(W.partitionBy("file_name").orderBy("at", "row"))
-    halves = rows.where(F.col("n").isin(1, 3) & ~bare).withColumn("next", nxt).where("n = 3").select("file_name", "l", F.concat(F.lit("@"), F.get("next", F.lit(0))).alias("qual"))
-    out = whole.union(halves)
-    head = F.regexp_replace(F.get("l", F.lit(0)), "^@", "")  # the file's first record still has it
-    return out.select("file_name", F.substring_index(head, " ", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("comment"), F.get("l", F.lit(1)).alias("seq"), "qual")
+    rows = raw.select(F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), "value")
+    lines = F.split(F.regexp_replace(F.regexp_replace("value", r"\A@", ""), r"\r?\n\z", ""), r"\r?\n")
+    # If every part of a file is a whole record, each starts where the one before has ended.
+    size, third = F.length(F.get("l", F.lit(1))), F.get("l", F.lit(2))
+    whole = (F.size("l") == 4) & (size > 0) & (size == F.length(F.get("l", F.lit(3)))) & third.startswith("+") & ~F.get("l", F.lit(1)).rlike(r"^\+|\s")
+    parts = rows.withColumn("l", lines)
+    begins = F.min(F.struct("row", F.col("value").startswith("@").alias("marked")))["marked"]
+    sound = parts.groupBy("file_name", "at").agg(F.min(F.coalesce(whole, F.lit(False))).alias("all"), begins.alias("marked"))
+    # A row for each file that is not plain: broadcast, so that no text is shuffled to find them.
+    odd = F.broadcast(materialize(sound.where(~F.col("all") | (F.col("at") == 0) & ~F.col("marked")).select("file_name").distinct(), "odd-files"))
+    plain = parts.join(odd, "file_name", "left_anti").select("file_name", F.get("l", F.lit(0)).alias("head"), F.get("l", F.lit(1)).alias("seq"), F.get("l", F.lit(3)).alias("qual"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from itertools import groupby
+
+        def records() -> Iterator[tuple[str, str]]:
+            for f in frames:
+                yield from zip(f["file_name"], f["value"])
+
+        def lines_of(parts: Iterable[tuple[str, str]]) -> Iterator[str]:
+            for n, (_, value) in enumerate(parts):
+                for line in (("@" if n else "") + value).removesuffix("\n").split("\n"):
+                    yield line.removesuffix("\r")
+
+        for file, parts in groupby(records(), key=lambda x: x[0]):
+            block = []
+            for r in parse_fastq(file, lines_of(parts)):
+                block.append((file, *r))
+                if len(block) == 1000:
+                    yield pd.DataFrame(block, columns=["file_name", "head", "seq", "qual"])
+                    block = []
+            yield pd.DataFrame(block, columns=["file_name", "head", "seq", "qual"])
+
+    ordered = rows.join(odd, "file_name", "left_semi").repartition("file_name").sortWithinPartitions("file_name", "at", "row")
+    parsed = ordered.select("file_name", "value").mapInPandas(run, "file_name string, head string, seq string, qual string")
+    out = plain.union(parsed)
+    return out.select("file_name", F.substring_index("head", " ", 1).alias("name"), F.trim(F.regexp_replace("head", r"^\S*", "")).alias("comment"), "seq", "qual")
 
 
 def fasta_lines(unitigs: DataFrame, number_col: str = "number") -> DataFrame:
