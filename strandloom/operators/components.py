@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.plans.stage import materialize
+from strandloom.plans.stage import forget, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,10 +23,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooks.append(hook)
         left = edges.join(hook, F.col("a") == F.col("u")).select(F.col("v").alias("a"), "b")
         right = left.join(hook, F.col("b") == F.col("u")).select("a", F.col("v").alias("b")).where("a <> b")
-        edges = materialize(right.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        before, edges = edges, materialize(right.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        forget(before)
     if not hooks:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = hooks[0].select(F.col("u").alias("node"), F.col("v").alias("component"))
     for hook in hooks[1:]:
         out = out.join(hook, F.col("component") == F.col("u"), "left").select("node", F.coalesce("v", "component").alias("component"))
-    return materialize(out, "components")
+    named = materialize(out, "components")
+    forget(edges, *hooks)
+    return named

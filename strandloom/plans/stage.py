@@ -1,7 +1,12 @@
-"""Written tables that cut lineage in iterative plans; they lie in the folder of ``spark.checkpoint.dir``."""
+"""Written tables that cut lineage in iterative plans; they lie in the folder of ``spark.checkpoint.dir``.
+
+A lost executor costs nothing that has been written, and no plan is evaluated twice. Where the setting is
+missing, a local master takes a folder under /tmp; a cluster is refused, since its machines share no local folder.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +20,8 @@ from pyspark.sql import Window as W
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = "/tmp/checkpoints/strandloom"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -26,6 +33,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that no plan reads any more."""
+    for table in tables:
+        session, folder = table.sparkSession, shared_dir(table.sparkSession)
+        for name in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = session._jvm.org.apache.hadoop.fs.Path(name)
+            if "/".join(name.split("/")[:-1]).rstrip("/").endswith(folder.rpartition(":")[2].lstrip("/")):
+                path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a context: they need not have it on their path."""
     sc = spark.sparkContext
@@ -49,10 +66,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def in_ranges(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` written in ranges of ``order``, each a ``p_id``: sums within a range and offsets by range replace windows over a hot key.
+
+    Where the last column of ``order`` differs in each row, no key is too hot to be split.
+    """
+    return materialize(df.repartitionByRange(*order).withColumn("p_id", F.spark_partition_id()), name)
+
+
 def number_rows(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
     """Gapless numbers in the order of the columns: range-sorted, counted by partition, offset; no global window."""
-    ranged = df.repartitionByRange(*order).withColumn("p_id", F.spark_partition_id())
-    table = materialize(ranged, "numbered")
+    table = in_ranges(df, order, "numbered")
     counts = table.groupBy("p_id").count()
     before = counts.select(F.col("p_id").alias("b_id"), (F.sum("count").over(W.orderBy("p_id")) - F.col("count")).alias("b_before"))  # a row a partition
     inside = F.row_number().over(W.partitionBy("p_id").orderBy(*order)) - 1
