@@ -6,47 +6,59 @@ a hash of their id, the whole source once for each pass; a copy is taken while i
 target. A source's weight runs over the training linearly, from 1 + ramp to 1 - ramp; the integral
 of this schedule is its cumulative demand, and inverting it gives a copy's training position.
 
-Null and empty texts have size 0. Null sources form one source, the last. Repeated rows are handled each.
-An empty table gives an empty table. Sums are in whole numbers, so reruns agree.
+Documents and sources are summed within ranges of a unique order and offset by range, so neither a hot source nor a
+hot id, nor the number of sources, is gathered in one task.
+
+Null and empty texts have size 0. Null sources form one source, the last. Repeated rows are handled each; equal ones can
+change places. Long texts count whole. An empty table gives an empty table. Sums are in whole numbers, so reruns agree.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .rules import words_of
-from .scratch import materialize, shield
+from .scratch import in_ranges, keyed, materialize
 
 WEIGHTS = (5, 2, 1)
 RAMPS = (0.5, 0.0, -0.5)
 WIDE = "decimal(38,0)"
 
 
+def running(table: DataFrame, order: list[Column | str], of: list[str], name: str) -> DataFrame:
+    """``table`` with ``<c>_before`` for each column: its sum over all rows that stand before in the order. Ranges, not one window."""
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    rows = materialize(table.repartitionByRange(*by).withColumn("r_id", F.spark_partition_id()), name)
+    sums = rows.groupBy("r_id").agg(*[F.sum(c).cast(WIDE).alias(c) for c in of])
+    upto = W.orderBy("r_id").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    offsets = sums.select(F.col("r_id").alias("o_id"), *[F.coalesce(F.sum(c).over(upto), F.lit(0)).cast(WIDE).alias(f"o_{c}") for c in of])
+    inside = W.partitionBy("r_id").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    out = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).cast(WIDE).alias(f"i_{c}") for c in of]).join(offsets, F.col("r_id") == F.col("o_id"))
+    return out.select(*table.columns, *[(F.col(f"i_{c}") + F.col(f"o_{c}")).cast(WIDE).alias(f"{c}_before") for c in of])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ramps: tuple[float, ...] = RAMPS, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     """``source, source_size, target, ramp`` of ``sizes(source, source_size)``; share: the wanted total as a fraction of all sizes.
 
-    Weights are dealt to the sources by code point, null last. One row a source: windows over all of
-    them have as many rows as there are sources.
+    Weights are dealt to the sources by code point, null last.
     """
-    pick = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.pmod(F.col("place"), F.lit(len(values))))
-    all_rows = W.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.withColumn("place", F.row_number().over(all_rows) - 1)
+    pick = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.pmod(F.col("place"), F.lit(len(values))).cast("int"))
+    ranked = running(sizes.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], ["one"], "source-places")
+    s = ranked.select("source", "source_size", F.col("one_before").cast("long").alias("place"))
     s = s.withColumn("w", pick(weights, "long")).withColumn("ramp", pick(ramps, "double")).withColumn("cap", F.col("source_size") * most)
-    everything = W.partitionBy()
-    up, down = share
-    s = s.withColumn("want", (F.sum("source_size").over(everything) * up).cast(WIDE)).withColumn("w_all", F.sum("w").over(everything))
     # In the order of cap / weight a source is capped exactly if its cap lies below its share of what those before it left.
-    order = W.orderBy((F.col("cap") / F.col("w")).asc(), "place").rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumn("cap_before", F.coalesce(F.sum("cap").over(order), F.lit(0))).withColumn("w_before", F.coalesce(F.sum("w").over(order), F.lit(0)))
-    left = F.col("want") - F.col("cap_before") * down
-    capped = F.col("cap").cast("decimal(20,0)") * (down * (F.col("w_all") - F.col("w_before"))).cast("decimal(17,0)") < left.cast("decimal(22,0)") * F.col("w").cast("decimal(15,0)")
+    s = materialize(running(s, [F.col("cap") / F.col("w"), F.col("place")], ["cap", "w"], "source-caps"), "sources")
+    up, down = share
+    whole = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast(WIDE).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()  # one row
+    want, w_all = int(whole["size"]) * up, int(whole["w"])
+    small = lambda c: c.cast("decimal(18,0)")
+    capped = F.col("cap").cast("decimal(19,0)") * small(down * (F.lit(w_all) - F.col("w_before").cast("long"))) < (F.lit(want).cast("decimal(22,0)") - F.col("cap_before") * down).cast("decimal(22,0)") * F.col("w").cast("decimal(15,0)")
     s = s.withColumn("capped", capped)
-    s = s.withColumn("cap_sum", F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0))).withColumn("w_sum", F.coalesce(F.sum(F.when(F.col("capped"), F.col("w"))).over(everything), F.lit(0)))
-    free = ((F.col("want") - F.col("cap_sum") * down) * F.col("w")).cast("double") / ((F.col("w_all") - F.col("w_sum")) * down).cast("double")
+    taken = s.where("capped").agg(F.coalesce(F.sum("cap"), F.lit(0)).cast(WIDE).alias("cap"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()  # one row
+    rest, over = want - int(taken["cap"]) * down, max(1, (w_all - int(taken["w"])) * down)
+    free = (F.lit(rest).cast("decimal(22,0)") * F.col("w").cast("decimal(15,0)")).cast("double") / F.lit(float(over))
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(free).alias("target"), "ramp")
 
 
@@ -56,37 +68,37 @@ def invert(demand: Column, ramp: Column) -> Column:
     return F.when(ramp == 0, demand).otherwise(t)
 
 
-def mix(docs: DataFrame, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """``id[, row], size, source_size, target, copies, taken, positions`` of every row.
+def mix(docs: DataFrame, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id[, *carry], size, source_size, target, copies, taken, positions`` of every row.
 
-    ``positions``: the training position, from 0 to 1, of each copy taken.
+    ``positions``: the training position, from 0 to 1, of each copy taken. ``carry``: columns to hand on, such as a row's key.
     """
-    extra = [F.col(row_col).alias("row")] if row_col else []
-    rows = docs.select(F.col(id_col).alias("id"), *extra, F.col(source_col).alias("source"), F.size(words_of(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("size"))
-    rows = materialize(rows.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))), "sizes")
-    digits = max(1, math.ceil(math.log(max(1, rows.count() / 50_000), 16)))
-    rows = rows.withColumn("block", F.substring("h", 1, digits))
-    sums = materialize(rows.groupBy("source", "block").agg(F.sum("size").alias("n")), "block-sums")
-    before = sums.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), (F.sum("n").over(W.partitionBy("source").orderBy("block")) - F.col("n")).alias("b_before"))
+    kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.col(id_col).alias("id"), *kept, F.col(source_col).alias("source"), F.size(words_of(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("size"))
+    rows = rows.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))).withColumn("row", F.monotonically_increasing_id())
+    order = ["h", "id", "size", "row"]
+    rows = in_ranges(materialize(rows, "sizes"), ["source", *order], "ranged-sizes")
+    sums = materialize(rows.groupBy("source", "p_id").agg(F.sum("size").alias("n")), "range-sums")
+    before = sums.select(F.col("source").alias("b_source"), F.col("p_id").alias("b_id"), (F.sum("n").over(W.partitionBy("source").orderBy("p_id")) - F.col("n")).alias("b_before"))
     sources = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), most=most).withColumnRenamed("source", "s_source")
-    # One table by (source, block), so that the rows are joined once and a hot source is spread over its blocks.
+    # One table by (source, range), so that the rows are joined once and a hot source is spread over its ranges.
     cells = before.join(sources, before["b_source"].eqNullSafe(sources["s_source"])).drop("s_source")
-    order = ["h", "id", "size", *(["row"] if row_col else [])]
-    inside = F.sum("size").over(W.partitionBy("source", "block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    at = rows.withColumn("inside", inside).join(cells, rows["source"].eqNullSafe(cells["b_source"]) & (rows["block"] == cells["b_block"]))
+    inside = F.sum("size").over(W.partitionBy("source", "p_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    at = rows.withColumn("inside", inside).join(cells, rows["source"].eqNullSafe(cells["b_source"]) & (rows["p_id"] == cells["b_id"]))
     begin = F.col("b_before") + F.col("inside")
     twice = [2 * (begin + k * F.col("source_size")) + F.col("size") for k in range(most)]
     copies = sum(((m < 2 * F.col("target")).cast("int") for m in twice), F.lit(0))
     places = F.array(*[invert((m / F.lit(2.0)) / F.col("target"), F.col("ramp")) for m in twice])
     out = at.withColumn("copies", copies).withColumn("positions", F.slice(F.when(F.col("target") > 0, places).otherwise(F.array().cast("array<double>")), 1, F.col("copies")))
-    return out.select(F.col("id").alias(id_col), *(["row"] if row_col else []), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "positions")
+    named = [F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)]
+    return out.select(F.col("id").alias(id_col), *named, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "positions")
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as it is taken, range-sorted by training position."""
-    inner, at = shield(docs)
-    kept = materialize(inner.withColumn("m_row", F.monotonically_increasing_id()), "mix-input")
-    mixed = mix(kept, id_col=at[id_col], text_col=at[text_col], source_col=at[source_col], row_col="m_row")
-    copies = mixed.select(F.col("row").alias("c_row"), F.explode("positions").alias("c_position"))
-    rows = kept.join(copies, F.col("m_row") == F.col("c_row"))
-    return rows.repartitionByRange(F.col("c_position"), F.col("m_row")).sortWithinPartitions("c_position", "m_row").select(*inner.columns).toDF(*docs.columns)
+    rows, at = keyed(docs)
+    mixed = mix(rows, id_col=at[id_col], text_col=at[text_col], source_col=at[source_col], carry=("row_file", "row_at"))
+    copies = materialize(mixed.select(F.col("row_file").alias("c_file"), F.col("row_at").alias("c_at"), F.explode("positions").alias("c_position")), "copies")
+    drawn = rows.join(copies, (F.col("row_file") == F.col("c_file")) & (F.col("row_at") == F.col("c_at")))
+    by = ["c_position", "row_file", "row_at"]
+    return drawn.repartitionByRange(*by).sortWithinPartitions(*by).select(*at.values()).toDF(*docs.columns)

@@ -1,21 +1,25 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Fingerprints of 64 bits that differ in at most 2 bits differ in at most 2 of their 8 bytes, so
-they share at least 6 positional bytes. The 8 positions form 4 pairs; at least 2 of the 4
-pairs are then shared whole, so indexing each of the 6 combinations of two pairs (four
-positional bytes) misses no link. For a pair met in a posting the shared positional bytes are
-tallied, pairs under the guaranteed 6 are dropped, and the rest is verified by bit count.
-
-Long postings do not emit pairs. There each fingerprint lists the keys at distance 1 or 0 from it
-within the bytes that the posting leaves free: two fingerprints differ in at most 2 bits exactly
-if they share such a key. Lists by key have at most 33 members, so nothing grows with a group.
+Fingerprints of 64 bits that differ in at most 2 bits differ in at most 2 of their 8 bytes, so a link
+is guaranteed 6 shared positional bytes. The index is built over sets of positional bytes. Its first level
+holds each of the 6 combinations of two byte pairs (four positional bytes); a link shares at least
+one of them, and fingerprints alone in all their postings go. Its second level holds each of the 28
+sets of six positional bytes: two fingerprints meet there exactly if they share the guaranteed number, so the
+tally is taken by the index and no pair has to be listed to be counted. What meets is verified within
+the 16 bits that a set leaves free: a fingerprint lists itself and its neighbours at one bit, and two
+fingerprints differ in at most 2 bits exactly if they list a common one. Each such list is linked as a star, so
+rows grow with the number of fingerprints, 28 and 17 for each at most, whatever the size of a group.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows with a null id
-take part; a component whose ids are all null has a null component_id. Equal rows are kept.
-
-``deduplicate_similar`` links by the share of common shingles instead. Its fingerprint has a min-hash for each
-position; posting keys hold four positions, and every pair that meets is verified on whole shingle sets. Long
-postings compare each member with a leader; the triangle inequality of Jaccard distances tells who else may be linked.
+take part; a component whose ids are all null has a null component_id. Equal rows are kept. An empty table
+gives an empty table. Long texts are read whole, their hashes summed in blocks. Only the id and text columns
+are read by ``near_duplicates``; ``deduplicate*`` carry all columns under names that can't clash.
+
+``deduplicate_similar`` links by the share of common shingles instead. Its fingerprint has a byte for each of
+POSITIONS min-hashes; a posting holds HELD positional bytes. Members of a posting are counted
+against its leader: pairs that share fewer than LEAST positional bytes go, the rest is verified on whole shingle
+sets. Links to leaders make components; members outside their leader's component are then
+counted against all members of other components, by the same filter.
 """
 
 from __future__ import annotations
@@ -31,12 +35,16 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.components import connected_components
 
-from .scratch import bounded_batches, materialize, shield
+from .scratch import bounded_batches, forget, keyed, lean, materialize
 
-PAIRS = list(combinations(range(4), 2))
-SHORT_POSTING = 16
-#: Min-hashes of a fingerprint and how many a posting key holds: of pairs with a similarity of 0.8, 3 in a million share no key.
-POSITIONS, HELD = 96, 4
+BYTES = 8
+#: First level: two of the four byte pairs. Second level: all but two of the bytes.
+FOURS = [(2 * a, 2 * a + 1, 2 * b, 2 * b + 1) for a, b in combinations(range(4), 2)]
+SIXES = list(combinations(range(BYTES), BYTES - 2))
+#: Positional bytes of a min-hash fingerprint and how many a posting holds. Of pairs with a similarity of 0.8, 2 in 10,000 share no posting (calculated).
+POSITIONS, HELD = 252, 7
+#: Shared positional bytes that a pair needs. At 0.8 the mean is 202 and the deviation 6.4, so 3 in 10 million have fewer (calculated).
+LEAST = 170
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -78,55 +86,58 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
+
+
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long")
 
 
-def _unsigned(fp: Column, byte: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * byte).bitwiseAND(F.lit(255))
+def _held(fp: Column, held: tuple[int, ...]) -> Column:
+    """The fingerprint with only these bytes left."""
+    return fp.bitwiseAND(_signed(sum(255 << (8 * i) for i in held)))
 
 
-def _posting(fp: Column, combo: int) -> Column:
-    """Posting key: the combination's number above its four positional bytes."""
-    a, b = PAIRS[combo]
-    two = lambda g: F.shiftrightunsigned(fp, 16 * g).bitwiseAND(F.lit(65535))
-    return F.shiftleft(F.lit(combo).cast("long"), 32).bitwiseOR(F.shiftleft(two(a), 16)).bitwiseOR(two(b))
+def _level(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """``fp, held, value``: a posting is the number of a set of positions and their bytes; those of one member are left out."""
+    entries = F.array(*[F.struct(F.lit(n).alias("held"), _held(F.col("fp"), h).alias("value")) for n, h in enumerate(sets)])
+    index = fps.select("fp", F.explode(entries).alias("e")).select("fp", "e.held", "e.value")
+    shared = index.groupBy(F.col("held").alias("s_held"), F.col("value").alias("s_value")).agg(F.count("*").alias("n")).where("n > 1")
+    return index.join(shared, (F.col("held") == F.col("s_held")) & (F.col("value") == F.col("s_value"))).select("fp", "held", "value")
 
 
-def _near(fp: Column, combo: int) -> Column:
-    """The fingerprint and those that differ from it in one bit outside the combination's bytes."""
-    free = [g for g in range(4) if g not in PAIRS[combo]]
-    masks = [0] + [1 << (16 * g + i) for g in free for i in range(16)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    return F.transform(F.array(*[F.lit(m).cast("long") for m in signed]), lambda m: fp.bitwiseXOR(m))
+def _near(fp: Column, six: tuple[int, ...]) -> Column:
+    """The fingerprint and those that differ from it in one bit outside the set."""
+    free = [0, *(1 << (8 * i + b) for i in range(BYTES) if i not in six for b in range(8))]
+    return F.array(*[fp.bitwiseXOR(_signed(m)) for m in free])
 
 
-def links(fps: DataFrame, bits: int = 2, short: int = SHORT_POSTING) -> DataFrame:
+def shared_bytes(a: Column, b: Column) -> Column:
+    """How many of the eight positional bytes of two longs agree: the bits of each byte of the difference are folded into one."""
+    x = a.bitwiseXOR(b)
+    for by, mask in ((4, 0x0F), (2, 0x03), (1, 0x01)):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, by)).bitwiseAND(_signed(int.from_bytes(bytes([mask]) * 8)))
+    return BYTES - F.bit_count(x)
+
+
+def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """``a, b``: links between different fingerprints that connect all pairs within ``bits`` (at most 2).
 
-    ``fps`` has one column ``fp`` of distinct values, a written table. In short postings every
-    linked pair comes out; in long ones the links of a key go to its smallest fingerprint.
+    ``fps`` has one column ``fp`` of distinct values, a written table. The links of a common neighbour go to its
+    smallest fingerprint; for fewer than 2 bits its members, 17 at most, are compared.
     """
     if not 0 <= bits <= 2:
-        raise ValueError("four shared positional bytes are guaranteed for at most 2 bits")
-    index = fps.select("fp", F.explode(F.array(*[_posting(F.col("fp"), c) for c in range(len(PAIRS))])).alias("posting"))
-    sizes = index.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1")
-    post = materialize(index.join(sizes, "posting"), "postings")
-
-    few = post.where(F.col("n") <= short)
-    x, y = few.select("posting", F.col("fp").alias("a")), few.select("posting", F.col("fp").alias("b"))
-    tally = sum(((_unsigned(F.col("a"), i) == _unsigned(F.col("b"), i)).cast("int") for i in range(8)), F.lit(0))
-    near = (F.col("a") < F.col("b")) & (tally >= 8 - bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    pairs = x.join(y, "posting").where(near).select("a", "b")
-
-    many = post.where(F.col("n") > short)
-    combo = F.shiftright("posting", 32)
-    keys = F.coalesce(*[F.when(combo == c, _near(F.col("fp"), c)) for c in range(len(PAIRS))])
-    meet = many.select("posting", "fp", F.explode(keys).alias("key")).groupBy("posting", "key").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+        raise ValueError("six shared positional bytes are guaranteed for at most 2 bits")
+    some = materialize(_level(fps, FOURS).select("fp").distinct(), "postings")
+    met = _level(some, SIXES)
+    lists = F.coalesce(*[F.when(F.col("held") == n, _near(F.col("fp"), six)) for n, six in enumerate(SIXES)])
+    near = met.select("held", "fp", F.explode(lists).alias("key")).groupBy("held", "key").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # at most 17 members
     if bits == 2:
-        stars = meet.select(F.explode("fps").alias("b"), F.array_min("fps").alias("a")).where("a < b").select("a", "b")
-    else:  # the lists are short: compare in place
-        stars = meet.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).where(near)
-    return pairs.union(stars).distinct()
+        pairs = near.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
+    else:
+        pairs = near.select("fps", F.explode("fps").alias("a")).select("a", F.explode("fps").alias("b"))
+    verified = (F.col("a") < F.col("b")) & (shared_bytes(F.col("a"), F.col("b")) >= BYTES - bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    return pairs.where(verified).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,49 +154,69 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, id_col: str =
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """``row_file, row_at`` of the row with the smallest ``d_id`` of each ``root``; of equal ids any one, of rows without ids one."""
+    least = F.min(F.struct(F.col("d_id").isNull(), F.col("d_id"), F.col("row_file"), F.col("row_at")))
+    return rows.groupBy("root").agg(least.alias("m")).select(F.col("m.row_file").alias("k_file"), F.col("m.row_at").alias("k_at"))
+
+
+def _keep(rows: DataFrame, kept: DataFrame, names: list[str]) -> DataFrame:
+    return rows.join(kept, (F.col("row_file") == F.col("k_file")) & (F.col("row_at") == F.col("k_at")), "left_semi").drop("row_file", "row_at").toDF(*names)
+
+
 def deduplicate(docs: DataFrame, size: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: the one with the smallest id (of equal ids any one, of rows without ids one)."""
-    inner, at = shield(docs)
-    id_col, text_col = at[id_col], at[text_col]
-    keyed = materialize(inner.withColumn("d_key", F.monotonically_increasing_id()), "dedup-input")
-    found = materialize(fingerprints(keyed, size, "d_key", text_col), "fingerprints")
-    distinct = found.select("fp").distinct()
-    distinct = materialize(distinct, "distinct-fp")
+    rows, at = keyed(docs)
+    key = F.struct(F.col(at[id_col]).alias("d_id"), "row_file", "row_at")
+    found = materialize(fingerprints(rows.select(key.alias("k"), F.col(at[text_col]).alias("t")), size, "k", "t").select("k.*", "fp"), "fingerprints")
+    distinct = materialize(found.select("fp").distinct(), "distinct-fp")
     labels = connected_components(links(distinct, bits))
-    rows = keyed.select("d_key", F.col(id_col).alias("d_id")).join(found, "d_key").join(labels, F.col("fp") == labels["node"], "left")
-    root = F.coalesce("component", "fp")
-    first = rows.groupBy(root.alias("root")).agg(F.min(F.struct(F.col("d_id").isNull(), F.col("d_id"), F.col("d_key"))).alias("m"))
-    return keyed.join(first.select(F.col("m.d_key").alias("d_key")), "d_key", "left_semi").drop("d_key").toDF(*docs.columns)
+    rooted = found.join(labels, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp"))
+    return _keep(rows, _first_rows(rooted), docs.columns)
+
+
+MIXES = np.random.default_rng(42).integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def min_hashes(found: np.ndarray) -> np.ndarray:
-    """The least value of the shingle hashes under each of POSITIONS mixes."""
-    mixes = np.random.default_rng(42).integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """The least product of a shingle hash with each of POSITIONS odd numbers; the hashes are random, so their orders are unrelated."""
     least = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), 4096):  # long texts in blocks
-        mixed = found[i : i + 4096, None] * mixes
-        mixed ^= mixed >> np.uint64(32)
-        least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+    for i in range(0, len(found), 256):  # in blocks that stay near the core
+        np.minimum(least, (found[i : i + 256, None] * MIXES).min(axis=0), out=least)
     return least
 
 
+def positional_bytes(found: np.ndarray) -> np.ndarray:
+    """A fingerprint of POSITIONS bytes: a byte of a hash of each min-hash, which itself is small. Zero bytes fill the last of its longs."""
+    out, least = np.zeros(-(-POSITIONS // BYTES) * BYTES, np.uint8), min_hashes(found)
+    out[:POSITIONS] = ((least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(56)
+    return out
+
+
+def posting_keys(words: np.ndarray) -> np.ndarray:
+    """Longs of HELD positional bytes under the number of their group of positions."""
+    held = words.view(np.uint8)[:POSITIONS].reshape(-1, HELD).astype(np.int64)
+    keys = np.arange(len(held), dtype=np.int64)
+    for column in held.T:
+        keys = (keys << 8) | column
+    return keys
+
+
 def signatures(docs: DataFrame, size: int, key_col: str, text_col: str) -> DataFrame:
-    """``key, same, postings``: a digest of the shingle set, equal for equal sets, and its posting keys."""
+    """``key, same, words``: a digest of the shingle set, equal for equal sets, and its fingerprint as longs; null for texts without words."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for b in batches:
-            same, postings = [], []
-            for text in b.column(1).to_pylist():
-                found = np.unique(shingles(text, size))
+            same, words = [], []
+            for text in b.column(1):
+                found = np.unique(shingles(text.as_py(), size))
                 same.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                least = min_hashes(found).reshape(-1, HELD) if len(found) else []
-                postings.append(np.array([xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least)], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(postings, pa.list_(pa.int64()))], ["key", "same", "postings"])
+                words.append(positional_bytes(found).view(np.int64) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(words, pa.list_(pa.int64()))], ["key", "same", "words"])
 
-    return docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "key bigint, same binary, postings array<bigint>")
+    rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lean(run), f"key {rows.schema['key'].dataType.simpleString()}, same binary, words array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, size: int, key_col: str, text_col: str) -> DataFrame:
@@ -194,63 +225,93 @@ def shingle_sets(docs: DataFrame, size: int, key_col: str, text_col: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(shingles(text, size)).view(np.int64) for text in b.column(1).to_pylist()]
+            found = [np.unique(shingles(text.as_py(), size)).view(np.int64) for text in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
 
-    return docs.select(F.col(key_col).alias("node"), F.col(text_col).alias("text")).mapInArrow(run, "node bigint, found array<bigint>")
+    rows = docs.select(F.col(key_col).alias("node"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lean(run), "node bigint, found array<bigint>")
+
+
+def postings_of(prints: DataFrame) -> DataFrame:
+    """``posting, node, leader`` of ``prints(node, words)``; the leader is the smallest node. Postings of one member are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            made = np.concatenate([posting_keys(np.ascontiguousarray(w)) for w in words]) if b.num_rows else np.zeros(0, np.int64)
+            each = np.repeat(np.arange(b.num_rows), POSITIONS // HELD)
+            yield pa.RecordBatch.from_arrays([pa.array(made), b.column(0).take(pa.array(each))], ["posting", "node"])
+
+    index = prints.where(F.col("words").isNotNull()).select("node", "words").mapInArrow(lean(run), "posting bigint, node bigint")
+    shared = index.groupBy(F.col("posting").alias("s_posting")).agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+    return index.join(shared, F.col("posting") == F.col("s_posting")).select("posting", "node", "leader")
+
+
+def tally(x: Column, y: Column) -> Column:
+    """How many of the POSITIONS bytes of two fingerprints agree; the bytes that fill the last long always do."""
+    return F.aggregate(F.zip_with(x, y, shared_bytes), F.lit(POSITIONS % BYTES - BYTES if POSITIONS % BYTES else 0), lambda acc, n: acc + n)
+
+
+def count_filter(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` that share LEAST positional bytes or more."""
+    x, y = prints.select(F.col("node").alias("x_node"), F.col("words").alias("x")), prints.select(F.col("node").alias("y_node"), F.col("words").alias("y"))
+    both = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
+    return both.where(tally(F.col("x"), F.col("y")) >= LEAST).select("a", "b")
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs(a, b)`` with ``sim``, the share of common shingles of both."""
-    x, y = sets.select(F.col("node").alias("a"), F.col("found").alias("x")), sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("sum"))
+    x, y = sets.select(F.col("node").alias("x_node"), F.col("found").alias("x")), sets.select(F.col("node").alias("y_node"), F.col("found").alias("y"))
+    both = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node")).select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("sum"))
     return both.select("a", "b", (F.col("n") / (F.col("sum") - F.col("n"))).alias("sim"))
 
 
-def similar_links(index: DataFrame, sets: DataFrame, similarity: float, short: int = SHORT_POSTING) -> DataFrame:
-    """``a, b``: verified links that connect all pairs of ``similarity`` or more that share a posting of ``index(posting, node)``.
+def similar_links(index: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``a, b``: verified links that connect all pairs of ``similarity`` or more that share a posting of ``index(posting, node, leader)``.
 
-    In short postings all pairs are compared. In long ones all are compared with a leader and leave the posting
-    if linked to it; the others go on to the next round, and meet those that left as far as their distances to
-    the leader allow a link. Nothing is left out, and rows grow with a group's size, not its square, where it has a center.
+    Every member is counted against its posting's leader, one row a member. Then members that are not in their
+    leader's component are counted against the posting's members of other components. A pair is left out only if it lies in
+    one component. The second step costs a comparison for each such member and each other member, so a posting of
+    a group of copies is linear; one whose members share more than half their shingles without being linked is not.
     """
-    order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    done = None
-    while True:
-        first = F.min(F.struct(F.xxhash64("posting", "node").alias("h"), "node"))
-        sizes = index.groupBy("posting").agg(F.count("*").alias("n"), first["node"].alias("leader")).where("n > 1")
-        post = materialize(index.join(sizes, "posting"), "similar-postings")
-        few, many = post.where(F.col("n") <= short), post.where((F.col("n") > short) & (F.col("node") != F.col("leader")))
-        x, y = few.select("posting", F.col("node").alias("a")), few.select("posting", F.col("node").alias("b"))
-        pairs = x.join(y, "posting").where("a < b").select("a", "b").union(many.select(*order("node", "leader"))).distinct()
-        known = materialize(similarities(pairs, sets), "similarities")
-        near = known.where(F.col("sim") >= similarity).select("a", "b")
-        done = near if done is None else done.union(near)
-        if not many.limit(1).count():
-            return materialize(done.distinct(), "similar-links")
-        led = many.select("posting", "node", "leader", *order("node", "leader")).join(known, ["a", "b"]).select("posting", "node", (1 - F.col("sim")).alias("far"))
-        led = materialize(led, "led")
-        reach = 1 - similarity + 1e-9  # a link's longest distance
-        left, on = led.where(F.col("far") <= reach), led.where(F.col("far") > reach)
-        ring = on.where(F.col("far") <= 2 * reach).select("posting", F.col("node").alias("r_node"), F.col("far").alias("r_far"))
-        pairs = ring.join(left, "posting").where(F.col("r_far") - F.col("far") <= reach).select(*order("r_node", "node")).distinct()
-        done = done.union(materialize(similarities(pairs, sets).where(F.col("sim") >= similarity).select("a", "b"), "ring-links"))
-        index = on.select("posting", "node")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return similarities(pairs, sets).where(F.col("sim") >= similarity).select("a", "b")
+
+    starred = index.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    stars = materialize(verified(count_filter(starred, prints)), "stars")
+    label = connected_components(stars)
+    of = lambda node, name: label.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(name))
+    placed = index.join(of("node", "mine"), F.col("node") == F.col("mine_node"), "left").join(of("leader", "led"), F.col("leader") == F.col("led_node"), "left")
+    placed = materialize(placed.select("posting", "node", F.coalesce("mine", "node").alias("mine"), F.coalesce("led", "leader").alias("led")), "placed")
+    outside = placed.where("mine <> led").select(F.col("posting").alias("o_posting"), F.col("node").alias("o_node"), F.col("mine").alias("o_mine"))
+    words = prints.select(F.col("node").alias("w_node"), F.col("words"))
+    x = outside.join(words, F.col("o_node") == F.col("w_node")).select("o_posting", "o_node", "o_mine", F.col("words").alias("x"))
+    mixed = outside.select(F.col("o_posting").alias("m_posting")).distinct()
+    y = placed.join(mixed, F.col("posting") == F.col("m_posting")).join(words, F.col("node") == F.col("w_node")).select("posting", "node", "mine", "led", F.col("words").alias("y"))
+    # A pair of two such members is met from both sides: one is enough.
+    meet = (F.col("posting") == F.col("o_posting")) & (F.col("mine") != F.col("o_mine")) & ((F.col("mine") == F.col("led")) | (F.col("o_node") < F.col("node"))) & (tally(F.col("x"), F.col("y")) >= LEAST)
+    crossing = x.join(y, meet).select(F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b")).distinct()
+    return stars.union(verified(crossing))
 
 
 def deduplicate_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of texts that share ``similarity`` or more of their shingles: the row ``deduplicate`` would take."""
-    inner, at = shield(docs)
-    id_col, text_col = at[id_col], at[text_col]
-    keyed = materialize(inner.withColumn("d_key", F.monotonically_increasing_id()), "dedup-input")
-    found = materialize(signatures(keyed, size, "d_key", text_col), "signatures")
-    sets_of = materialize(found.groupBy("same").agg(F.min("key").alias("node")), "distinct-sets")
-    index = found.join(sets_of.select(F.col("node").alias("key")), "key", "left_semi").select(F.explode("postings").alias("posting"), F.col("key").alias("node"))
-    shared = index.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1").select("posting")
-    index = materialize(index.join(shared, "posting"), "shared-postings")
-    texts = keyed.select("d_key", text_col).join(index.select(F.col("node").alias("d_key")).distinct(), "d_key", "left_semi")
-    sets = materialize(shingle_sets(texts, size, "d_key", text_col), "shingle-sets")
-    labels = connected_components(similar_links(index, sets, similarity)).withColumnRenamed("node", "l_node")
-    rows = keyed.select("d_key", F.col(id_col).alias("d_id")).join(found.select(F.col("key").alias("d_key"), "same"), "d_key").join(sets_of, "same").join(labels, F.col("node") == F.col("l_node"), "left")
-    first = rows.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min(F.struct(F.col("d_id").isNull(), F.col("d_id"), F.col("d_key"))).alias("m"))
-    return keyed.join(first.select(F.col("m.d_key").alias("d_key")), "d_key", "left_semi").drop("d_key").toDF(*docs.columns)
+    """One row of each component of texts that share ``similarity`` or more of their shingles: the row ``deduplicate`` would take.
+
+    LEAST and HELD are chosen for 0.8; a lower ``similarity`` misses links.
+    """
+    rows, at = keyed(docs)
+    key = F.struct(F.col(at[id_col]).alias("d_id"), "row_file", "row_at")
+    found = materialize(signatures(rows.select(key.alias("k"), F.col(at[text_col]).alias("t")), size, "k", "t").select("key.*", "same", "words"), "signatures")
+    first = F.min(F.struct("row_file", "row_at"))
+    distinct = found.groupBy(F.col("same").alias("n_same")).agg(F.first("words").alias("words"), first["row_file"].alias("n_file"), first["row_at"].alias("n_at"))
+    prints = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "prints")
+    index = materialize(postings_of(prints), "similar-postings")
+    wanted = prints.join(index.select(F.col("node").alias("i_node")).distinct(), F.col("node") == F.col("i_node"), "left_semi").select("n_file", "n_at", "node")
+    texts = rows.select("row_file", "row_at", F.col(at[text_col]).alias("t")).join(wanted, (F.col("row_file") == F.col("n_file")) & (F.col("row_at") == F.col("n_at"))).select("node", "t")
+    sets = materialize(shingle_sets(texts, size, "node", "t"), "shingle-sets")
+    labels = connected_components(similar_links(index, prints, sets, similarity)).select(F.col("node").alias("l_node"), "component")
+    forget(sets, index)
+    rooted = found.join(prints.select("n_same", "node"), F.col("same") == F.col("n_same")).join(labels, F.col("node") == F.col("l_node"), "left")
+    kept = materialize(_first_rows(rooted.withColumn("root", F.coalesce("component", "node"))), "kept-rows")
+    forget(found, prints)
+    return _keep(rows, kept, docs.columns)

@@ -1,12 +1,15 @@
 """Best-fit packing by exact-complement hashing.
 
 Lengths are at most the capacity, so their histogram is small whatever the corpus holds. The
-plan is made on that histogram: runs of equal sequences, each with a repeat count. Pieces
-then find their place by their rank among pieces of their length; ranks are taken within
-hash buckets whose number grows with the input, so no length is gathered in one task.
-
-Nulls and empty texts are packed like any other (with the closing id they have one token).
-Repeated rows are packed each. An empty table gives an empty table. Reruns agree.
+plan is made on that histogram: runs of equal sequences, each with a repeat count. Sums of single lengths,
+pairs and triples are indexed; combinations that fill a gap exactly are consumed under the counts of what is
+left, and best fit takes the rest. Pieces then find their place by their rank among pieces of their
+length; ranks are taken within ranges of a unique order, so no length is gathered in one task.
+
+Nulls and empty texts are packed like any other (with the closing id they have one token). Long texts are cut.
+Repeated rows are packed each; rows of equal or null ids are told apart by a digest of their token ids, and rows equal in
+all of these can change places. An empty table gives an empty table. Reruns agree, whatever the order of the rows.
+Other columns of ``docs`` are not carried, so none can clash.
 """
 
 from __future__ import annotations
@@ -19,17 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .scratch import bounded_batches, fan, materialize
-from .wordbpe import pieces, word_bpe
+from .scratch import bounded_batches, in_ranges, lean, materialize
+from .wordbpe import pieces, prove, word_bpe
 
 
 def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, piece, start, length, ids``: ids of each piece as little-endian unsigned 32-bit integers."""
     bounded_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
+    proved = docs.sparkSession.sparkContext.broadcast(prove(vocabulary))  # at most the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_bpe(vocabulary)
+        encoder = word_bpe(vocabulary, proved.value)
         for b in batches:
             row, piece, start, length, ids = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -46,48 +50,69 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {kind}, piece int, start bigint, length bigint, ids binary").withColumnRenamed("id", id_col)
+
 
+class SumIndex:
+    """Which lengths, pairs and triples make each sum, under the counts of what is left.
 
-class Stock:
-    """How many pieces of each length are left."""
+    ``pairs[s]`` lists the longer parts of pairs whose sum is s, ``triples[s]`` the longest parts of triples, shortest
+    first. Counts only fall, so an entry that can't be served is taken off its list for good.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
-        self.capacity = capacity
         self.left = np.zeros(capacity + 1, dtype=np.int64)
         for length, n in counts.items():
             self.left[length] = n
+        there = np.flatnonzero(self.left)
+        longer: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for a in there.tolist():
+            for b in there[(there <= a) & (there + a <= capacity)].tolist():
+                longer[a + b].append(a)
+        self.pairs = longer
+        sums = np.array([bool(x) for x in longer])
+        self.triples: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for a in there.tolist():
+            for rest in np.flatnonzero(sums[: min(2 * a, capacity - a) + 1]).tolist():
+                self.triples[a + rest].append(a)
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """The pair with the longest part."""
+        parts = self.pairs[total]
+        while parts:
+            a, b = parts[-1], total - parts[-1]
+            if self.left[a] > (a == b) and self.left[b] > 0:
+                return a, b
+            parts.pop()
+        return None
 
-    def singles(self, gap: int, spare: np.ndarray) -> tuple[int, ...] | None:
-        return (gap,) if spare[gap] > 0 else None
-
-    def pairs(self, gap: int, spare: np.ndarray) -> tuple[int, ...] | None:
-        """The pair with the longest part of those whose sum is the gap."""
-        low = np.arange(1, gap // 2 + 1)
-        there = (spare[low] > 0) & (spare[gap - low] > (low * 2 == gap))
-        at = np.flatnonzero(there)
-        return (gap - int(low[at[0]]), int(low[at[0]])) if len(at) else None
-
-    def triples(self, gap: int, spare: np.ndarray) -> tuple[int, ...] | None:
-        for longest in np.flatnonzero(spare[: gap - 1] > 0)[::-1]:
-            longest = int(longest)
-            if 3 * longest < gap:
-                break
-            spare[longest] -= 1
-            two = self.pairs(gap - longest, spare)
-            spare[longest] += 1
-            if two:
-                return (longest, *two)
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """The triple with the longest part, then the pair with the longest part of what it leaves."""
+        parts = self.triples[total]
+        while parts:
+            a = parts[-1]
+            if self.left[a] > 0:
+                self.left[a] -= 1
+                two = self.pair_within(total - a)
+                self.left[a] += 1
+                if two:
+                    return (a, *two)
+            parts.pop()
         return None
 
-    def complement(self, gap: int) -> tuple[int, ...] | None:
-        if gap <= 0:
-            return None
-        for find in (self.singles, self.pairs, self.triples):
-            if got := find(gap, self.left):
-                return got
+    def pair_within(self, total: int) -> tuple[int, int] | None:
+        """Like ``pair`` while a part is held back: nothing is taken off for that."""
+        for a in reversed(self.pairs[total]):
+            b = total - a
+            if self.left[a] > (a == b) and self.left[b] > 0:
+                return a, b
         return None
 
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        if self.left[gap] > 0:
+            return (gap,)
+        return self.pair(gap) or self.triple(gap)
+
     def best_fit(self, gap: int) -> int:
         """The longest piece that fits, 0 if none does."""
         at = np.flatnonzero(self.left[: gap + 1])
@@ -101,7 +126,7 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, tup
     they are taken as often as the stock allows. Where nothing fills it, the longest piece that
     fits goes in and the search starts again from the smaller gap.
     """
-    stock, out = Stock(counts, capacity), []
+    stock, out = SumIndex(counts, capacity), []
     for length in range(capacity, 0, -1):
         while stock.left[length] > 0:
             parts = [length]
@@ -141,21 +166,22 @@ def placements(plan: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
     return out
 
 
-def pack(table: DataFrame, capacity: int = 2048, length_col: str = "length", key_cols: tuple[str, ...] = ("doc_id", "piece", "start")) -> DataFrame:
-    """Add ``sequence_id`` and ``offset``. ``table`` is evaluated several times: pass a written one."""
+def pack(table: DataFrame, capacity: int = 2048, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece", "start", "ids_digest")) -> DataFrame:
+    """Add ``sequence_id`` and ``offset``. ``table`` is evaluated several times: pass a written one.
+
+    ``order``: columns that tell the rows apart as far as they differ.
+    """
     spark = table.sparkSession
     counts = {r[0]: r[1] for r in table.groupBy(length_col).count().collect()}  # at most `capacity` rows
-    total = sum(counts.values())
-    buckets = fan(spark, total)
     runs = placements(plan_sequences(counts, capacity))
     spots = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "p_length bigint, p_first bigint, p_ranks bigint, p_sequence bigint, p_offset bigint")
 
-    rows = table.withColumn("p_bucket", F.pmod(F.xxhash64(*key_cols), F.lit(buckets)).cast("int"))
-    sums = rows.groupBy(F.col(length_col).alias("b_length"), F.col("p_bucket").alias("b_bucket")).agg(F.count("*").alias("b_n"))
-    before = sums.select("b_length", "b_bucket", (F.sum("b_n").over(W.partitionBy("b_length").orderBy("b_bucket")) - F.col("b_n")).alias("b_before"))
-    within = W.partitionBy(length_col, "p_bucket").orderBy(*key_cols)
-    ranked = rows.withColumn("p_in", F.row_number().over(within) - 1)
-    ranked = ranked.join(before, (F.col(length_col) == F.col("b_length")) & (F.col("p_bucket") == F.col("b_bucket"))).withColumn("p_rank", F.col("p_in") + F.col("b_before"))
+    by = [*order, "p_row"]
+    rows = in_ranges(table.withColumn("p_row", F.monotonically_increasing_id()), [length_col, *by], "ranged-pieces")
+    sums = rows.groupBy(F.col(length_col).alias("b_length"), F.col("p_id").alias("b_id")).agg(F.count("*").alias("b_n"))  # a row a length and range, ranges follow the lengths
+    before = sums.select("b_length", "b_id", (F.sum("b_n").over(W.partitionBy("b_length").orderBy("b_id")) - F.col("b_n")).alias("b_before"))
+    ranked = rows.withColumn("p_in", F.row_number().over(W.partitionBy(length_col, "p_id").orderBy(*by)) - 1)
+    ranked = ranked.join(before, (F.col(length_col) == F.col("b_length")) & (F.col("p_id") == F.col("b_id"))).withColumn("p_rank", F.col("p_in") + F.col("b_before"))
 
     # A run of ranks can be long: cut runs and ranks into blocks, so that the join is by equal keys.
     block = 4096
@@ -163,12 +189,12 @@ def pack(table: DataFrame, capacity: int = 2048, length_col: str = "length", key
     placed = ranked.withColumn("r_block", F.expr(f"p_rank div {block}")).join(
         cells, (F.col(length_col) == F.col("p_length")) & (F.col("r_block") == F.col("p_block")) & (F.col("p_rank") >= F.col("p_first")) & (F.col("p_rank") < F.col("p_first") + F.col("p_ranks"))
     )
-    return placed.select(*[table[c] for c in table.columns], (F.col("p_sequence") + F.col("p_rank") - F.col("p_first")).alias("sequence_id"), F.col("p_offset").alias("offset"))
+    return placed.select(*[F.col(c) for c in table.columns], (F.col("p_sequence") + F.col("p_rank") - F.col("p_first")).alias("sequence_id"), F.col("p_offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Tokenize, cut and pack. With ``keep_ids`` the ids come out beside their CRC-32, else only the CRC-32."""
-    cut = tokenize_pieces(docs, vocabulary, capacity, id_col=id_col, text_col=text_col).withColumn("ids_crc32", F.crc32("ids"))
+    cut = tokenize_pieces(docs, vocabulary, capacity, id_col=id_col, text_col=text_col).withColumn("ids_crc32", F.crc32("ids")).withColumn("ids_digest", F.unhex(F.md5("ids")))
     if not keep_ids:
         cut = cut.drop("ids")
-    return pack(materialize(cut, "pieces"), capacity, key_cols=(id_col, "piece", "start"))
+    return pack(materialize(cut, "pieces"), capacity, order=(id_col, "piece", "start", "ids_digest")).drop("ids_digest")

@@ -5,32 +5,33 @@ of the target (texts labelled good). The log importance weight of a text is the
 features, of the log ratio of target to raw probability; Gumbel noise from a hash of the id is
 added and the k largest keys are kept: a sample without replacement in proportion to weight.
 
-Features of a word: its bytes (unigram); its shape (kinds of characters, length class) with how
-far back the same word stood; and the pair of neighbouring shapes. k is the number of texts
-whose weight lies above the cut that separates the labelled sample best; where no label tells
+Features of a word: its bytes (unigram); itself and the word before (bigram); its shape (kinds of characters, length
+class) with how far back the same word stood; and the pair of neighbouring shapes. Each has a table of BINS hashed bins. k is the
+number of texts whose weight lies above the cut that separates the labelled sample best; where no label tells
 good from bad, all texts are kept.
 
 The labelled sample is bounded by ``max_labels`` (smallest hashes of the id first). Everything else
-covers all texts, whole. Null and empty texts have no features, weight 0. A null id is hashed like a
-value of its own. Equal ids share their noise; ties at the k-th key are all kept. Without labels,
-or with an empty table, the result is the input's rows, all kept.
+covers all texts, whole; a long text is read in parts that know the words before them. Null and empty texts have no features,
+weight 0. A null id is hashed like a value of its own. Equal ids share their noise; ties at the k-th key are all kept.
+Without labels, or with an empty table, the result is the input's rows, all kept. With ``keep_columns`` all columns are
+carried under names that can't clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .scratch import bounded_batches, materialize
+from .scratch import bounded_batches, lean, materialize, shield
 
-BINS = 1 << 14
-TABLES = 3
-BLOCK = 1 << 22
+BINS = 1 << 16
+TABLES = 4
+BLOCK = 1 << 18  # bytes of text that are turned into features at once
+BACK = 4  # words that a word's features look back
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,7 +85,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     text = np.searchsorted(offsets, at, side="right") - 1
     back = np.zeros(len(at), np.uint64)
-    for d in (4, 3, 2, 1):
+    for d in range(BACK, 0, -1):
         if len(at) > d:
             back[d:][(word[d:] == word[:-d]) & (text[d:] == text[:-d])] = d
     shape = (flags * np.uint64(8) + np.minimum(length, 31).astype(np.uint64) // np.uint64(4)) * np.uint64(8) + back
@@ -92,12 +93,38 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     before[1:] = shape[:-1] + np.uint64(1)
     starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
     before[starts] = 0
-    bins = np.stack([_bin(word, 0), _bin(shape, 1), _bin(shape * np.uint64(1 << 20) + before, 2)])
+    last = np.empty_like(word)
+    last[1:] = word[:-1]
+    last[starts] = 0
+    bins = np.stack([_bin(word, 0), _bin(shape, 1), _bin(shape * np.uint64(1 << 20) + before, 2), _bin((last ^ (last >> np.uint64(29))) * MIX + word, 3)])
     return bins, starts, text[starts]
 
 
-def _blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, bytes, offsets) of runs of whole texts of about BLOCK bytes."""
+def _parts(data: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(bytes, words to leave out) of one long text: each part begins BACK words early, so that its own words know what stood before."""
+    at = begin = skip = 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK)
+        while end < len(data) and KINDS[data[end]]:
+            gap = np.flatnonzero(KINDS[data[end : end + BLOCK]] == 0)
+            end = end + int(gap[0]) if len(gap) else min(len(data), end + BLOCK)
+        yield data[begin:end], skip
+        at, reach = end, 4096
+        while True:
+            begin = max(0, end - reach)
+            inside = KINDS[data[begin:end]] != 0
+            heads = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1  # of words that begin after the first byte
+            if len(heads) >= BACK or begin == 0:
+                break
+            reach *= 8
+        if len(heads) >= BACK:
+            begin, skip = begin + int(heads[-BACK]), BACK
+        else:
+            skip = len(heads) + int(inside[0]) if len(inside) else 0
+
+
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first text, bytes, offsets, words to leave out) of runs of texts of about BLOCK bytes, or of parts of a longer one."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
@@ -105,11 +132,24 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, side="right")) - 1)
         j = min(j, len(texts))
-        if offsets[j] > offsets[i]:
-            yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if offsets[j] - offsets[i] > BLOCK:
+            for part, skip in _parts(data[offsets[i] : offsets[j]]):
+                yield i, part, np.array([0, len(part)]), skip
+        elif offsets[j] > offsets[i]:
+            yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 0
         i = j
 
 
+def _featured(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bins, first words, texts) block by block."""
+    for i, data, offsets, skip in _blocks(texts.fill_null("")):
+        bins, starts, text = features(data, offsets)
+        if skip:
+            bins = bins[:, skip:]
+        if bins.shape[1]:
+            yield bins, starts, i + text
+
+
 def count_features(rows: DataFrame) -> DataFrame:
     """``f, n``: counts of bins over all ``rows(text, good)``; those of good texts again from TABLES * BINS on."""
     bounded_batches(rows.sparkSession)
@@ -119,51 +159,43 @@ def count_features(rows: DataFrame) -> DataFrame:
         total = np.zeros(2 * size, np.int64)
         for b in batches:
             good = b.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-            for i, data, offsets in _blocks(b.column(0).fill_null("")):
-                bins, starts, text = features(data, offsets)
-                total[:size] += np.bincount(bins.ravel(), minlength=size)
-                mine = np.repeat(good[i + text], np.diff(np.append(starts, bins.shape[1])))
+            for bins, starts, text in _featured(b.column(0)):
+                np.add.at(total, bins.ravel(), 1)
+                mine = np.repeat(good[text], np.diff(np.append(starts, bins.shape[1])))
                 if mine.any():
-                    total[size:] += np.bincount(bins[:, mine].ravel(), minlength=size)
+                    np.add.at(total, bins[:, mine].ravel() + size, 1)
         f = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(total[f], pa.int64())], ["f", "n"])
 
-    return rows.select("text", "good").mapInArrow(run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
+    return rows.select("text", "good").mapInArrow(lean(run), "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
 
 
-def log_ratio(counts: list[tuple[int, int]], prior: float = 4.0) -> np.ndarray:
+def log_ratio(f: np.ndarray, counts: np.ndarray, prior: float = 4.0) -> np.ndarray:
     """Log of target over raw probability of each bin, tables apart.
 
     What the raw model leads one to expect of the target is set against what was seen, both with
     ``prior`` added: a bin that the labelled texts are too few to judge has a ratio near 1.
     """
     n = np.zeros(2 * TABLES * BINS)
-    for f, c in counts:
-        n[f] = c
+    n[f] = counts
     raw, target = n.reshape(2, TABLES, BINS)
     expected = raw / np.maximum(1.0, raw.sum(axis=1, keepdims=True)) * target.sum(axis=1, keepdims=True)
     return np.log((target + prior) / (expected + prior)).ravel()
 
 
-def weigh(rows: DataFrame, table: np.ndarray, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """``rows`` with ``log_weight`` added, and without the text unless ``keep_text``."""
-    bounded_batches(rows.sparkSession)
-    names = [c for c in rows.columns if keep_text or c != text_col]
-    at, places = rows.columns.index(text_col), [rows.columns.index(c) for c in names]
-    sent = rows.sparkSession.sparkContext.broadcast(table.astype(np.float64))  # TABLES * BINS numbers, whatever the corpus
+def log_weight(spark: SparkSession, table: np.ndarray) -> Callable[[Column], Column]:
+    """A function of a text column: its log importance weight. Only the weight comes back from Python, the row stays where it is."""
+    bounded_batches(spark)
+    sent = spark.sparkContext.broadcast(table.astype(np.float64))  # TABLES * BINS numbers, whatever the corpus
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lr = sent.value
-        for b in batches:
-            out = np.zeros(b.num_rows)
-            for i, data, offsets in _blocks(b.column(at).fill_null("")):
-                bins, starts, text = features(data, offsets)
-                if len(starts):
-                    out[i + text] = np.add.reduceat(lr[bins].sum(axis=0), starts)
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in places], pa.array(out)], [*names, "log_weight"])
+    @F.arrow_udf("double")
+    def weigh(texts: pa.Array) -> pa.Array:
+        lr, out = sent.value, np.zeros(len(texts))
+        for bins, starts, text in _featured(texts):
+            out[text] += np.add.reduceat(lr[bins].sum(axis=0), starts)
+        return pa.array(out)
 
-    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("log_weight", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return weigh
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float | None:
@@ -212,11 +244,12 @@ def importance_resample(docs: DataFrame, labels: DataFrame, seed: int = 7, max_l
     sample = sample.withColumn("fit", F.pmod(F.xxhash64("l_id", F.lit(seed + 1)), F.lit(2)) == 0)
     sample = materialize(sample.orderBy(F.xxhash64("l_id", F.lit(seed)), "l_id").limit(max_labels), "labels")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("l_id"), "left")  # at most max_labels rows
-    counts = count_features(rows.select("text", (F.col("good") & F.col("fit")).alias("good")))
-    table = log_ratio([(r["f"], r["n"]) for r in counts.collect()])  # at most 2 * TABLES * BINS rows
+    counts = count_features(rows.select("text", (F.col("good") & F.col("fit")).alias("good"))).toArrow()  # at most 2 * TABLES * BINS rows
+    table = log_ratio(counts["f"].to_numpy(), counts["n"].to_numpy())
 
+    weigh = log_weight(docs.sparkSession, table)
     noise = lambda c: -F.log(-F.log((F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
-    weighed = weigh(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), table).withColumn("gumbel_key", F.col("log_weight") + noise("id"))
+    weighed = docs.select(F.col(id_col).alias("id"), weigh(F.col(text_col)).alias("log_weight")).withColumn("gumbel_key", F.col("log_weight") + noise("id"))
     weighed = materialize(weighed.withColumn("bits", _double_bits(F.col("gumbel_key"))), "weights")
     seen = weighed.join(F.broadcast(sample), F.col("id") == F.col("l_id")).where(~(F.col("good") & F.col("fit"))).groupBy("id", "good").agg(F.min("log_weight").alias("w")).collect()  # at most max_labels rows
     cut = best_cut(np.array([r["w"] for r in seen], float), np.array([r["good"] for r in seen], bool)) if seen else None
@@ -228,10 +261,8 @@ def importance_resample(docs: DataFrame, labels: DataFrame, seed: int = 7, max_l
     if keep_columns:
         if least is None:
             return docs
-        # Weighing a row again is cheaper than a copy of all texts to join the decisions to.
-        names = [f"c{i}" for i in range(len(docs.columns))]
-        again = weigh(docs.toDF(*names), table, names[docs.columns.index(text_col)], keep_text=True)
-        key = F.col("log_weight") + noise(names[docs.columns.index(id_col)])
-        return again.where(_double_bits(key) >= least).drop("log_weight").toDF(*docs.columns)
+        # Weighing a row again is cheaper than a shuffle of all texts to join the decisions to.
+        inner, at = shield(docs)
+        return inner.where(_double_bits(weigh(F.col(at[text_col])) + noise(at[id_col])) >= least).toDF(*docs.columns)
     kept = weighed if least is None else weighed.where(F.col("bits") >= least)
     return kept.select(F.col("id").alias(id_col), "log_weight", "gumbel_key")

@@ -67,7 +67,8 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = secrets.scan(_documents(spark, sf_dir))
+    """All versions arrive in two batches; the second is scanned with the ledger of the first."""
+    rows, _ = secrets.scan_arrivals(secrets.arrivals(_documents(spark, sf_dir), 2))
     kinds = {r.kind: n for n, r in enumerate(secrets.RULES)}
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kinds[kind])).cast("long")
     base = secrets.written(F.filter("spans", lambda s: s["kind"] < 3))
@@ -90,7 +91,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
+    """Every row with the training positions of its copies, range-sorted by the first; rows that the mix leaves out come last."""
+    mixed = mixing.mix(_documents(spark, sf_dir))
+    at = lambda i: F.get("positions", F.lit(i))
+    out = mixed.select("doc_id", "size", "source_size", "target", "taken", at(0).alias("first_position"), at(1).alias("second_position"))
+    by = [F.col("first_position").asc_nulls_last(), F.col("doc_id")]
+    return out.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media, op3_quality, op4_packing, op5_neardup, op6_secrets, op7_rules, op8_resharding, op9_token_counts, op10_mixing)}
@@ -99,7 +105,7 @@ _URL = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://"
 
 OP1 = rf"""
 WITH p AS (
-  SELECT page_id, lower(regexp_extract(url, '{_URL}(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+  SELECT page_id, lower(rtrim(regexp_extract(url, '{_URL}(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1), '.')) AS host,
          list_filter(string_split(regexp_extract(url, '{_URL}[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts,
          DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched
   FROM pages),
@@ -115,8 +121,8 @@ v AS (SELECT key, action, day AS since, lead(day) OVER (PARTITION BY key ORDER B
       FROM (SELECT key, day, max(action) AS action FROM e GROUP BY 1, 2)),
 k AS (
   SELECT page_id, fetched, unnest(list_distinct(
-    list_concat(list_transform(range(1, least(len(string_split(host, '.')), 6) + 1), lambda n: array_to_string(string_split(host, '.')[-n:], '.')), [host],
-      list_transform(range(1, least(len(parts), 2) + 1), lambda n: host || '/' || array_to_string(parts[1:n], '/'))))) AS key
+    list_concat(list_transform(range(1, len(string_split(host, '.')) + 1), lambda n: array_to_string(string_split(host, '.')[-n:], '.')),
+      list_transform(range(1, len(parts) + 1), lambda n: host || '/' || array_to_string(parts[1:n], '/'))))) AS key
   FROM p WHERE host <> ''),
 m AS (SELECT page_id, max({{'n': length(v.key), 'key': v.key, 'since': v.since, 'action': v.action}}) AS m
       FROM k JOIN v ON k.key = v.key AND k.fetched >= v.since AND (v.until IS NULL OR k.fetched < v.until) GROUP BY page_id)
@@ -144,24 +150,28 @@ f AS (SELECT b.r, doc_id, lang, source, n_words, word_chars, n_symbols, n_upper,
              CAST(len(lines) - coalesce(len(list_distinct(lines)), 0) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
       FROM b LEFT JOIN c ON b.r = c.r),
 m AS (
-  SELECT r, lang, source, 'symbols' AS measure, least(20000, 1000 * n_symbols // greatest(word_chars, 1)) AS v, 100 AS slack FROM f
-  UNION ALL SELECT r, lang, source, 'dup_lines', least(20000, 1000 * n_dup_lines // greatest(n_lines, 1)), 500 FROM f
-  UNION ALL SELECT r, lang, source, 'repeats', least(20000, 1000 * n_repeat_words // greatest(n_words, 1)), 150 FROM f
-  UNION ALL SELECT r, lang, source, 'upper', least(20000, 1000 * n_upper // greatest(word_chars, 1)), 300 FROM f
-  UNION ALL SELECT r, lang, source, 'word_length', least(20000, 100 * word_chars // greatest(n_words, 1)), 400 FROM f),
-s AS (SELECT lang, source, measure, slack, v // 10 AS bin, count(*) AS n FROM m GROUP BY ALL),
+  SELECT r, lang, source, 'symbols' AS measure, 100000 * n_symbols // greatest(word_chars, 1) AS v FROM f
+  UNION ALL SELECT r, lang, source, 'dup_lines', 100000 * n_dup_lines // greatest(n_lines, 1) FROM f
+  UNION ALL SELECT r, lang, source, 'repeats', 100000 * n_repeat_words // greatest(n_words, 1) FROM f
+  UNION ALL SELECT r, lang, source, 'upper', 100000 * n_upper // greatest(word_chars, 1) FROM f
+  UNION ALL SELECT r, lang, source, 'word_length', 1000 * word_chars // greatest(n_words, 1) FROM f),
+z AS (SELECT *, CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT) AS more FROM m),
+s AS (SELECT lang, source, measure, more * 32 + (v >> more) AS bin, count(*) AS n FROM z GROUP BY ALL),
 l AS (
-  SELECT 0 AS level, lang, source, measure, slack, bin, n FROM s
-  UNION ALL SELECT 1, lang, NULL, measure, slack, bin, sum(n) FROM s GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, measure, slack, bin, sum(n) FROM s GROUP BY ALL),
+  SELECT 0 AS level, lang, source, measure, bin, n FROM s
+  UNION ALL SELECT 1, lang, NULL, measure, bin, sum(n) FROM s GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, measure, bin, sum(n) FROM s GROUP BY ALL),
+k (measure, percent, times, least_far) AS (VALUES ('symbols', 75, 4, 250), ('dup_lines', 99, 1, 10000), ('repeats', 99, 1, 5000), ('upper', 75, 12, 100), ('word_length', 75, 10, 100)),
 q AS (
-  SELECT level, lang, source, measure, slack, max(total) AS total,
-         min(CASE WHEN upto * 100 >= total * 25 THEN bin END) AS low, min(CASE WHEN upto * 100 >= total * 75 THEN bin END) AS high
-  FROM (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total,
-               sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS upto FROM l) GROUP BY ALL),
-u AS (SELECT level, lang, source, measure, total, (high + 1) * 10 + greatest(slack, 3 * (high - low) * 10) AS fence FROM q),
+  SELECT level, lang, source, measure, percent, times, least_far, max(total) AS total,
+         min(CASE WHEN upto * 100 >= total * 50 THEN bin END) AS mid_bin, min(CASE WHEN upto * 100 >= total * percent THEN bin END) AS high_bin
+  FROM (SELECT l.*, percent, times, least_far, sum(n) OVER (PARTITION BY level, lang, source, l.measure) AS total,
+               sum(n) OVER (PARTITION BY level, lang, source, l.measure ORDER BY bin) AS upto FROM l JOIN k ON l.measure = k.measure) GROUP BY ALL),
+e AS (SELECT *, CASE WHEN mid_bin < 64 THEN mid_bin ELSE ((mid_bin % 32 + 33) << (mid_bin // 32 - 1)) - 1 END AS mid,
+             CASE WHEN high_bin < 64 THEN high_bin ELSE ((high_bin % 32 + 33) << (high_bin // 32 - 1)) - 1 END AS high FROM q),
+u AS (SELECT level, lang, source, measure, total, high + times * greatest(high - mid, least_far) AS fence FROM e),
 t AS (
-  SELECT a.lang, a.source, a.measure, CASE WHEN a.total >= 50 THEN a.fence WHEN b.total >= 50 THEN b.fence ELSE c.fence END AS fence
+  SELECT a.lang, a.source, a.measure, (a.total * a.fence + 200 * ((b.total * b.fence + 200 * c.fence) // (b.total + 200))) // (a.total + 200) AS fence
   FROM u a JOIN u b ON b.level = 1 AND a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure
            JOIN u c ON c.level = 2 AND a.measure = c.measure WHERE a.level = 0),
 o AS (SELECT r, bool_or(v > fence) AS above FROM m JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source AND m.measure = t.measure GROUP BY r)
@@ -186,9 +196,10 @@ a AS (SELECT r.doc_id, r.size, t.source_size, t.target, t.ramp,
              CAST(sum(r.size) OVER (PARTITION BY r.source ORDER BY h, r.doc_id, r.size, r.r) - r.size AS BIGINT) AS start
       FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
 x AS (SELECT *, (2 * start + size < 2 * target)::INTEGER + (2 * (start + source_size) + size < 2 * target)::INTEGER AS copies,
-             ((2 * start + size) / 2.0::DOUBLE) / target AS demand FROM a)
+             ((2 * start + size) / 2.0::DOUBLE) / target AS d1, ((2 * (start + source_size) + size) / 2.0::DOUBLE) / target AS d2 FROM a)
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
-       CASE WHEN copies > 0 THEN CASE WHEN ramp = 0 THEN demand ELSE ((1 + ramp) - sqrt((1 + ramp) * (1 + ramp) - 4 * ramp * demand)) / (2 * ramp) END END AS first_position
+       CASE WHEN copies > 0 THEN CASE WHEN ramp = 0 THEN d1 ELSE ((1 + ramp) - sqrt((1 + ramp) * (1 + ramp) - 4 * ramp * d1)) / (2 * ramp) END END AS first_position,
+       CASE WHEN copies > 1 THEN CASE WHEN ramp = 0 THEN d2 ELSE ((1 + ramp) - sqrt((1 + ramp) * (1 + ramp) - 4 * ramp * d2)) / (2 * ramp) END END AS second_position
 FROM x
 """
 

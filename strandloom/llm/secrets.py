@@ -5,8 +5,13 @@ Every version of a text is a blob, named by the SHA-256 of its UTF-8 bytes. The
 blob whose pair is not in the ledger, so copies and old versions cost nothing, and joins the
 findings back to all rows that hold the blob.
 
+A text is moved once, to its blob's first row; where it is redacted, only texts that a quick test of the
+rules lets through are joined with the findings, the others pass.
+
 Null texts are empty texts; empty texts have no spans. Repeated rows come out each. Rows with a null
-id are handled like others. Positions are code points, the end exclusive.
+id are handled like others. Positions are code points, the end exclusive. Long texts are scanned whole. An empty table gives
+an empty table and an empty ledger. ``scan`` reads the id and text columns only; ``redacted`` carries all columns
+under names that can't clash.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, shield
+from .scratch import keyed, materialize
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -46,6 +51,10 @@ RULES = (
 RULE_VERSION = "v1"
 
 
+def may_match(text: Column, rule: Rule) -> Column:
+    return F.contains(text, F.lit(rule.hint)) if rule.hint else text.rlike(rule.pattern)
+
+
 def find(text: Column, number: int, rule: Rule) -> Column:
     """Spans of one rule: what lies between matches and the matches themselves give the positions."""
     pattern = F.lit(rule.pattern)
@@ -63,7 +72,7 @@ def find(text: Column, number: int, rule: Rule) -> Column:
         span = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["value"] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    there = F.contains(text, F.lit(rule.hint)) if rule.hint else text.rlike(rule.pattern)
+    there = may_match(text, rule)
     named = parts.cast("array<struct<hit:int,value:int,gap:int>>")
     return F.when(there, F.aggregate(named, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
@@ -78,23 +87,44 @@ def with_blob(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("path"), text.alias("body"), F.sha2(text, 256).alias("blob"))
 
 
+def of_version(ledger: DataFrame, version: str) -> DataFrame:
+    return ledger.where(F.col("rule_version") == version).select("blob", "rule_version", F.col("spans").cast(SPAN).alias("spans"))
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(``path, blob, spans`` of every row, the ledger's new rows ``blob, rule_version, spans``)."""
     versions = with_blob(docs, id_col, text_col)
     paths = materialize(versions.select("path", "blob"), "paths")
     first = paths.groupBy("blob").agg(F.min("path").alias("first"))
     if ledger is not None:
-        first = first.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    first = first.withColumnRenamed("blob", "f_blob").hint("shuffle_hash")
+        first = first.join(of_version(ledger, version).select("blob"), "blob", "left_anti")
+    first = first.withColumnRenamed("blob", "f_blob")
+    # Copies of a blob differ in their path, so the pair spreads a hot blob.
     unseen = versions.join(first, (versions["blob"] == first["f_blob"]) & versions["path"].eqNullSafe(first["first"]), "left_semi")
     found = unseen.select("blob", spans_of(F.col("body"), rules).alias("spans")).dropDuplicates(["blob"])
     new = materialize(found.select("blob", F.lit(version).alias("rule_version"), "spans"), "ledger")
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == version).select("blob", "rule_version", F.col("spans").cast(SPAN).alias("spans")))
+    known = new if ledger is None else new.unionByName(of_version(ledger, version))
     hits = known.where(F.size("spans") > 0).select(F.col("blob").alias("h_blob"), "spans")
     rows = paths.join(hits, paths["blob"] == hits["h_blob"], "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
     return rows.withColumnRenamed("path", id_col), new
 
 
+def arrivals(docs: DataFrame, parts: int, id_col: str = "doc_id") -> list[DataFrame]:
+    """``docs`` as so many batches that arrive one after the other; together they hold each row once."""
+    batch = F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts))
+    return [docs.where(batch == n) for n in range(parts)]
+
+
+def scan_arrivals(batches: list[DataFrame], rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``scan`` of one batch after the other with the ledger so far: a blob that an earlier batch held is not scanned again."""
+    rows = ledger = None
+    for docs in batches:
+        got, new = scan(docs, ledger, rules, version, id_col, text_col)
+        rows = got if rows is None else rows.unionByName(got)
+        ledger = new if ledger is None else ledger.unionByName(new)
+    return rows, ledger
+
+
 def written(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
@@ -117,17 +147,23 @@ def redact(text: Column, spans: Column, rules: tuple[Rule, ...] = RULES) -> Colu
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with secrets replaced; a column ``n_chars``, where there is one, follows the text."""
-    inner, at = shield(docs)
-    text_in, chars = F.col(at[text_col]), at.get("n_chars")
-    _, new = scan(inner, rules=rules, id_col=at[id_col], text_col=at[text_col])
+    rows, at = keyed(docs)
+    text, chars = F.col(at[text_col]), at.get("n_chars")
+    body, names = F.coalesce(text, F.lit("")), list(at.values())
+    suspect = F.lit(False)
+    for r in rules:
+        suspect = suspect | may_match(body, r)
+    # Only what a rule may match is scanned and joined; the findings of a blob go to all rows that hold it.
+    asked = rows.where(suspect)
+    _, new = scan(asked.select(F.struct("row_file", "row_at").alias("k"), body.alias("t")), rules=rules, id_col="k", text_col="t")
     hits = new.where(F.size("spans") > 0).select(F.col("blob").alias("h_blob"), F.col("spans").alias("h_spans"))
-    rows = inner.join(hits, F.sha2(F.coalesce(text_in, F.lit("")), 256) == F.col("h_blob"), "left")
-    text = F.when(F.col("h_spans").isNull(), text_in).otherwise(redact(text_in, F.col("h_spans"), rules))
-    done = rows.select(*[text.alias(c) if c == at[text_col] else F.col(c) for c in inner.columns], F.col("h_spans").isNotNull().alias("h_new"))
-    length = F.char_length(F.col(at[text_col]))
+    joined = asked.join(hits, F.sha2(body, 256) == F.col("h_blob"), "left")
+    clean = F.when(F.col("h_spans").isNull(), text).otherwise(redact(text, F.col("h_spans"), rules))
+    done = joined.select(*[clean.alias(c) if c == at[text_col] else F.col(c) for c in names], F.col("h_spans").isNotNull().alias("h_new"))
     if chars and chars != at[text_col]:
-        done = done.withColumn(chars, F.when(F.col("h_new"), length.cast(inner.schema[chars].dataType)).otherwise(F.col(chars)))
-    return done.select(*inner.columns).toDF(*docs.columns)
+        length = F.char_length(F.col(at[text_col])).cast(docs.schema["n_chars"].dataType)
+        done = done.withColumn(chars, F.when(F.col("h_new"), length).otherwise(F.col(chars)))
+    return rows.where(~suspect).select(*names).union(done.select(*names)).toDF(*docs.columns)
 
 
-__all__ = ["RULES", "Rule", "find", "redact", "redacted", "scan", "spans_of", "written"]
+__all__ = ["RULES", "Rule", "arrivals", "find", "redact", "redacted", "scan", "scan_arrivals", "spans_of", "written"]

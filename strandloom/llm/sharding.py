@@ -3,21 +3,26 @@
 From the bytes of the old shards and the capacities of the new ones a flow is solved that moves the
 fewest bytes. Its amounts cut each old shard, in the order of a hash of the id, into ranges; a
 document goes where its middle byte falls. Only the sizes by shard reach the driver; prefix sums are
-taken within hash blocks whose number grows with the input.
+taken within ranges of a unique order, so no shard and no id is gathered in one task.
 
-Null texts have size 1. Null ids hash like a value of their own; equal rows take neighbouring slots.
-An empty table gives an empty table. Reruns agree.
+``rewrite`` then writes the files of the shards that gain or lose rows into a folder of a new version. A manifest tells
+for each shard where its files lie; it is written last, so a reader sees the old shards or the new ones.
+
+Null texts have size 1. Null ids hash like a value of their own; equal rows take neighbouring slots and can change
+places. Long texts count whole; a text longer than a shard's room goes where its middle byte falls.
+An empty table gives an empty table. Reruns agree. Of the columns only the id and text are read by ``reshard``.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .scratch import fan, materialize
+from .scratch import in_ranges, keyed, materialize
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -91,56 +96,94 @@ def ranges(sizes: dict[int, int], capacities: list[int]) -> list[tuple[int, int,
     return out
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, capacities: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, size, text_crc32, old_shard, shard, slot`` of every row.
+def even_or_scaled(total: int, shards: int, capacities: list[int] | None) -> list[int]:
+    if capacities is None:
+        return even(total, shards)
+    whole = sum(capacities)
+    ends = [total * sum(capacities[: i + 1]) // whole for i in range(len(capacities))]
+    return [b - a for a, b in zip([0, *ends], ends)]
+
+
+def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, capacities: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id, *carry, size, text_crc32, old_shard, shard, slot`` of every row.
 
     ``old_shard``: a number below a small bound, the shard a row is in; null counts as 0. ``capacities``: bytes of each new
-    shard, equal ones by default; they are scaled to the total.
+    shard, equal ones by default; they are scaled to the total. ``carry``: columns to hand on, such as a row's key.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), F.xxhash64(id_col).alias("h"))
-    rows = materialize(rows, "shard-rows")
-    totals = rows.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # a row for each old shard
-    sizes, count = {r["old_shard"]: r["bytes"] for r in totals}, sum(r["n"] for r in totals)
+    kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.col(id_col).alias("id"), *kept, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"), F.xxhash64(id_col).alias("h"))
+    order = ["h", "id", "size", "text_crc32", "row"]
+    rows = in_ranges(rows.withColumn("row", F.monotonically_increasing_id()), ["old_shard", *order], "shard-rows")
+    sums = rows.groupBy("old_shard", "p_id").agg(F.sum("size").alias("bytes"))
+    sizes = {r[0]: r[1] for r in sums.groupBy("old_shard").agg(F.sum("bytes")).collect()}  # a row for each old shard
     total = sum(sizes.values())
-    if capacities is None:
-        capacities = even(total, shards)
-    else:
-        whole = sum(capacities)
-        ends = [total * sum(capacities[: i + 1]) // whole for i in range(len(capacities))]
-        capacities = [b - a for a, b in zip([0, *ends], ends)]
-    cuts = spark.createDataFrame(ranges(sizes, capacities) if total else [(-1, 0, 0, 0)], "c_old int, c_from bigint, c_to bigint, shard int")
-
-    blocks = fan(spark, count)
-    rows = rows.withColumn("block", F.pmod(F.shiftright("h", 8), F.lit(blocks)).cast("int"))
-    order = ["h", "id", "size", "text_crc32"]
-    sums = rows.groupBy(F.col("old_shard").alias("b_old"), F.col("block").alias("b_block")).agg(F.sum("size").alias("b_sum"))
-    before = sums.select("b_old", "b_block", (F.sum("b_sum").over(W.partitionBy("b_old").orderBy("b_block")) - F.col("b_sum")).alias("b_before"))
-    inside = F.sum("size").over(W.partitionBy("old_shard", "block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    at = rows.withColumn("inside", inside).join(before, (F.col("old_shard") == F.col("b_old")) & (F.col("block") == F.col("b_block")))
+    cuts = spark.createDataFrame(ranges(sizes, even_or_scaled(total, shards, capacities)) if total else [(-1, 0, 0, 0)], "c_old int, c_from bigint, c_to bigint, shard int")
+
+    before = sums.select(F.col("old_shard").alias("b_old"), F.col("p_id").alias("b_id"), (F.sum("bytes").over(W.partitionBy("old_shard").orderBy("p_id")) - F.col("bytes")).alias("b_before"))
+    inside = F.sum("size").over(W.partitionBy("old_shard", "p_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    at = rows.withColumn("inside", inside).join(before, (F.col("old_shard") == F.col("b_old")) & (F.col("p_id") == F.col("b_id")))
     at = at.withColumn("middle", F.col("b_before") + F.col("inside") + F.expr("size div 2"))
     # At most old shards x new shards ranges: small by construction.
     placed = at.join(F.broadcast(cuts), (F.col("old_shard") == F.col("c_old")) & (F.col("middle") >= F.col("c_from")) & (F.col("middle") < F.col("c_to")))
-    placed = materialize(placed.select("id", "size", "text_crc32", "old_shard", "shard", "block", "h"), "placed")
+    placed = materialize(placed.select("id", *[f"carry_{i}" for i in range(len(carry))], "size", "text_crc32", "old_shard", "shard", "p_id", *[c for c in order if c in ("h", "row")]), "placed")
+
+    n = placed.groupBy(F.col("shard").alias("s_shard"), F.col("old_shard").alias("s_old"), F.col("p_id").alias("s_id")).agg(F.count("*").alias("s_n"))
+    n = n.select("s_shard", "s_old", "s_id", (F.sum("s_n").over(W.partitionBy("s_shard").orderBy("s_old", "s_id")) - F.col("s_n")).alias("s_before"))
+    ranked = placed.withColumn("r", F.row_number().over(W.partitionBy("shard", "old_shard", "p_id").orderBy(*order)) - 1)
+    out = ranked.join(n, (F.col("shard") == F.col("s_shard")) & (F.col("old_shard") == F.col("s_old")) & (F.col("p_id") == F.col("s_id")))
+    named = [F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)]
+    return out.select(F.col("id").alias(id_col), *named, "size", "text_crc32", "old_shard", "shard", (F.col("s_before") + F.col("r")).cast("long").alias("slot"))
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict[int, str]:
+    """``shard: folder`` of the newest version; shards without rows are not in it."""
+    rows = spark.read.parquet(f"{path}/manifest").collect()  # a row a shard and version
+    newest = max((r["version"] for r in rows), default=None)
+    return {r["shard"]: r["folder"] for r in rows if r["version"] == newest and r["folder"] is not None}
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the newest version, with their ``shard``."""
+    out = None
+    for shard, folder in sorted(read_manifest(spark, path).items()):
+        part = spark.read.parquet(folder).withColumn("shard", F.lit(shard))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"no shard of {path} has rows")
+    return out
 
-    n = placed.groupBy(F.col("shard").alias("s_shard"), F.col("old_shard").alias("s_old"), F.col("block").alias("s_block")).agg(F.count("*").alias("s_n"))
-    n = n.select("s_shard", "s_old", "s_block", (F.sum("s_n").over(W.partitionBy("s_shard").orderBy("s_old", "s_block")) - F.col("s_n")).alias("s_before"))
-    ranked = placed.withColumn("r", F.row_number().over(W.partitionBy("shard", "old_shard", "block").orderBy(*order)) - 1)
-    out = ranked.join(n, (F.col("shard") == F.col("s_shard")) & (F.col("old_shard") == F.col("s_old")) & (F.col("block") == F.col("s_block")))
-    return out.select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", (F.col("s_before") + F.col("r")).cast("long").alias("slot"))
 
+def write_shards(docs: DataFrame, shard: Column, path: str, keep: dict[int, str] | None = None, version: int = 0) -> dict[int, str]:
+    """Write the rows of ``docs`` by shard into a folder of this version and publish it; ``keep``: shards whose files stay."""
+    spark = docs.sparkSession
+    folder = f"{path}/v{version}-{uuid.uuid4().hex[:8]}"
+    docs.withColumn("shard", shard.cast("int")).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    made = {r["shard"] for r in spark.read.parquet(folder).select("shard").distinct().collect()} if docs.limit(1).count() else set()  # shard numbers
+    where = {**(keep or {}), **{s: f"{folder}/shard={s}" for s in made}}
+    manifest = [(version, s, f) for s, f in sorted(where.items())] or [(version, -1, None)]
+    spark.createDataFrame(manifest, "version bigint, shard int, folder string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return where
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
-    """Write the files of shards that gained or lost rows under ``path/shard=N``; the others are left. Returns these shards.
 
-    Ids must be unique here, for a row's shard is looked up by its id. A column ``shard`` of ``docs`` is replaced.
+def rewrite(docs: DataFrame, path: str, shards: int = 16, capacities: list[int] | None = None, old_col: str = "shard", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Reshard the stored rows ``docs`` (a column ``old_col`` tells their shard) and rewrite the files that this affects.
+
+    Shards that neither gain nor lose rows keep the files that the manifest in ``path`` names; a shard that loses all its rows
+    leaves the manifest. Old files are not touched, so readers of the former version and a failed job do no harm.
+    Returns ``reshard``'s rows. Rows are told apart by file and place, so ids may repeat or be null.
     """
-    moved = placed.where(F.col("shard") != F.col("old_shard")).select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
-    touched = sorted(r["s"] for r in moved.collect())  # shard numbers
-    if touched:
-        rows = placed.where(F.col("shard").isin(touched)).select(F.col(id_col).alias("p_id"), "shard")
-        mine = docs.drop("shard", "p_id")
-        out = mine.join(rows, mine[id_col].eqNullSafe(rows["p_id"])).drop("p_id")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return touched
+    spark = docs.sparkSession
+    rows, at = keyed(docs)
+    placed = materialize(reshard(rows, F.col(at[old_col]), shards, capacities, at[id_col], at[text_col], carry=("row_file", "row_at")), "resharded")
+    moved = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
+    touched = {r["s"] for r in moved.collect()}  # shard numbers
+    old = read_manifest(spark, path)
+    version = 1 + spark.read.parquet(f"{path}/manifest").agg(F.max("version")).first()[0]
+    mine = placed.where(F.col("shard").isin(*touched)) if touched else placed.limit(0)
+    place = mine.select(F.col("row_file").alias("p_file"), F.col("row_at").alias("p_at"), F.col("shard").alias("p_shard"))
+    inside = rows.join(place, (F.col("row_file") == F.col("p_file")) & (F.col("row_at") == F.col("p_at")))
+    names = [c for c in docs.columns if c != old_col]
+    write_shards(inside.select(*[F.col(at[c]).alias(c) for c in names], F.col("p_shard").alias("shard")), F.col("shard"), path, {s: f for s, f in old.items() if s not in touched}, version)
+    return placed.drop("row_file", "row_at").withColumnRenamed(at[id_col], id_col)

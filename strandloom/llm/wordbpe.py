@@ -5,7 +5,7 @@ order. Chunks seen before cost a dictionary look-up. A new chunk is cut into pre
 pre-token that the vocabulary encodes alone as one token is looked up in a table proved
 beforehand, and only the rest is merged by the library's own model. Texts with characters
 outside the range whose normal form is known to be itself, and texts that hold a special
-token's string, go to the library whole. Caches are bounded and hold no results.
+token's string, go to the library whole. Caches hold only short chunks and a bounded number of them, so their bytes are bounded.
 """
 
 from __future__ import annotations
@@ -38,8 +38,11 @@ NUMBERS = _category(lambda c: c.isnumeric() and not c.isalpha())
 PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
 
+LONGEST = 48  # characters of a chunk that is kept
+
+
 class ChunkCache(dict):
-    """Ids by chunk. When full, what was not asked for since the last time is forgotten."""
+    """Ids by chunk. When full, what was not asked for since the last time is forgotten; long chunks are not kept."""
 
     def __init__(self, make, limit: int):
         super().__init__()
@@ -49,6 +52,8 @@ class ChunkCache(dict):
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
+        if len(key) > LONGEST:
+            return got
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -56,40 +61,44 @@ class ChunkCache(dict):
         return got
 
 
+def prove(path: str) -> dict[str, int]:
+    """Vocabulary strings that end a word and that the merges bring to that one token, with its id."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    end, byte, out = "</w>", {c: b for b, c in byte_letters().items()}, {}
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        if not token.endswith(end) or any(c not in byte for c in token[: -len(end)]):
+            continue
+        got = tokenizer.model.tokenize(token[: -len(end)])
+        if len(got) != 1 or got[0].id != i:
+            continue
+        try:
+            out[bytes(byte[c] for c in token[: -len(end)]).decode()] = i
+        except UnicodeDecodeError:
+            continue
+    return out
+
+
 class WordBpe:
-    """``ids(text)``: little-endian unsigned 32-bit ids as bytes, equal to the library's."""
+    """``ids(text)``: little-endian unsigned 32-bit ids as bytes, equal to the library's; ``count(text)``: their number.
+
+    ``proved``: what ``prove`` found for this vocabulary. At most 2 * ``limit`` chunks of LONGEST characters are kept.
+    """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, proved: dict[str, int] | None = None, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.by_code = dict(self.letters)
+        self.by_code = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = self.prove_whole_tokens()
-        self.cache = ChunkCache(self.chunk, limit)
+        self.whole = {s: i.to_bytes(4, "little") for s, i in (prove(path) if proved is None else proved).items()}
+        self.cache, self.counts = ChunkCache(self.chunk, limit), ChunkCache(self.count_chunk, limit)
 
     def mapped(self, pretoken: str) -> str:
         return pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(self.by_code)
 
-    def prove_whole_tokens(self) -> dict[str, bytes]:
-        """Vocabulary strings that end a word and that the merges bring to that one token."""
-        end, byte = "</w>", {c: b for b, c in self.letters.items()}
-        out = {}
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            if not token.endswith(end) or any(c not in byte for c in token[: -len(end)]):
-                continue
-            got = self.model.tokenize(token[: -len(end)])
-            if len(got) != 1 or got[0].id != i:
-                continue
-            try:
-                text = bytes(byte[c] for c in token[: -len(end)]).decode()
-            except UnicodeDecodeError:
-                continue
-            out[text] = i.to_bytes(4, "little")
-        return out
-
     def pretoken(self, s: str) -> bytes:
         """Ids of one pre-token: looked up if it is proved to be one token, else merged."""
         got = self.whole.get(s)
@@ -105,6 +114,17 @@ class WordBpe:
             return self.cache[s[:-1]] + self.pretoken(s[-1])
         return b"".join(map(self.pretoken, PRETOKEN.findall(s)))
 
+    def count_pretoken(self, s: str) -> int:
+        return 1 if s in self.whole else len(self.model.tokenize(self.mapped(s)))
+
+    def count_chunk(self, s: str) -> int:
+        """Like ``chunk``: the number of ids only."""
+        if s.isalpha():
+            return self.count_pretoken(s)
+        if s[:-1].isalpha() and not s[-1].isnumeric():
+            return self.counts[s[:-1]] + self.count_pretoken(s[-1])
+        return sum(map(self.count_pretoken, PRETOKEN.findall(s)))
+
     def by_library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
@@ -120,18 +140,19 @@ class WordBpe:
         return b"".join(map(self.cache.__getitem__, text.lower().split()))
 
     def count(self, text: str) -> int:
-        return len(self.ids(text)) // 4
+        if not self.plain(text):
+            return len(self.by_library(text)) // 4
+        return sum(map(self.counts.__getitem__, text.lower().split()))
 
 
-_made: dict[tuple[str, int], WordBpe] = {}
+_made: dict[str, WordBpe] = {}
 
 
-def word_bpe(path: str, limit: int = 500_000) -> WordBpe:
+def word_bpe(path: str, proved: dict[str, int]) -> WordBpe:
     """One encoder for each Python worker and vocabulary."""
-    key = (path, limit)
-    if key not in _made:
-        _made[key] = WordBpe(path, limit)
-    return _made[key]
+    if path not in _made:
+        _made[path] = WordBpe(path, proved)
+    return _made[path]
 
 
 def pieces(ids: bytes, most: int) -> list[bytes]:

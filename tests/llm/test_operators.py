@@ -170,18 +170,22 @@ def test_near_duplicates(docs, empty):
     assert neardup.deduplicate(empty).count() == 0
 
 
-@pytest.mark.parametrize("short", [1, 16])
-def test_links_find_every_component(spark, short):
-    """With postings all long (stars by common neighbours) or all short (pairs)."""
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_links_find_every_component(spark, bits):
+    """Chains and stars of fingerprints, a hot group among them, against all pairs."""
     rng = np.random.default_rng(5)
-    fps = {int(x) for x in rng.integers(0, 1 << 63, 40)}
+    fps = {int(x) - (1 << 63) for x in rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2)}
+    flip = lambda x, *at: (x & (1 << 64) - 1 ^ sum(1 << a for a in set(at)))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
     for x in list(fps):
         y = x
         for _ in range(4):
-            y ^= (1 << int(rng.integers(0, 63))) | (1 << int(rng.integers(0, 63)))
+            y = signed(flip(y, *map(int, rng.integers(0, 64, 2))))
             fps.add(y)
+    hot = next(iter(fps))
+    fps |= {signed(flip(hot, i, j)) for i in range(64) for j in range(i, 64, 7)}
     fps = sorted(fps)
-    got = neardup.links(spark.createDataFrame([(x,) for x in fps], "fp bigint"), short=short).collect()
+    got = neardup.links(spark.createDataFrame([(x,) for x in fps], "fp bigint"), bits).collect()
 
     def groups(pairs):
         root = {x: x for x in fps}
@@ -195,10 +199,20 @@ def test_links_find_every_component(spark, short):
             root[find(a)] = find(b)
         return sorted(sorted(y for y in fps if find(y) == r) for r in {find(x) for x in fps})
 
-    true = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2]
+    true = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= bits}
+    assert {(r.a, r.b) for r in got} <= true
     assert groups([(r.a, r.b) for r in got]) == groups(true)
-    if short == 16:
-        assert {(r.a, r.b) for r in got} == set(true)
+
+
+def test_shared_bytes_and_tally(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(-(1 << 63), 1 << 63, (40, 32)), rng.integers(-(1 << 63), 1 << 63, (40, 32))
+    y[::2] = x[::2] ^ (rng.integers(0, 256, (20, 32)) << rng.integers(0, 56, (20, 32)))
+    x.view(np.uint8).reshape(40, -1)[:, neardup.POSITIONS :] = 0
+    y.view(np.uint8).reshape(40, -1)[:, neardup.POSITIONS :] = 0
+    want = [int((a.view(np.uint8)[: neardup.POSITIONS] == b.view(np.uint8)[: neardup.POSITIONS]).sum()) for a, b in zip(x, y)]
+    t = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "i int, x array<bigint>, y array<bigint>")
+    assert [r.n for r in t.select("i", neardup.tally(F.col("x"), F.col("y")).alias("n")).orderBy("i").collect()] == want
 
 
 def brute_spans(s):
