@@ -31,7 +31,8 @@ from .scratch import bounded_batches, lean, materialize, shield
 BINS = 1 << 16
 TABLES = 4
 BLOCK = 1 << 18  # bytes of text that are turned into features at once
-BACK = 4  # words that a word's features look back
+BACK = 4  # words that a word's shape looks back
+EARLY = BACK + 1  # words that its features look back, for the shape before it counts too
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,7 +102,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _parts(data: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """(bytes, words to leave out) of one long text: each part begins BACK words early, so that its own words know what stood before."""
+    """(bytes, words to leave out) of one long text: each part begins EARLY words early, so that its own words know what stood before."""
     at = begin = skip = 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
@@ -114,11 +115,11 @@ def _parts(data: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
             begin = max(0, end - reach)
             inside = KINDS[data[begin:end]] != 0
             heads = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1  # of words that begin after the first byte
-            if len(heads) >= BACK or begin == 0:
+            if len(heads) >= EARLY or begin == 0:
                 break
             reach *= 8
-        if len(heads) >= BACK:
-            begin, skip = begin + int(heads[-BACK]), BACK
+        if len(heads) >= EARLY:
+            begin, skip = begin + int(heads[-EARLY]), EARLY
         else:
             skip = len(heads) + int(inside[0]) if len(inside) else 0
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.plans.stage import shared_dir
+
 from . import media, mixing, neardup, packing, quality, rules, secrets, sharding, tokens, urlfilter
 
 
@@ -50,7 +54,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.decode_media(media.store_payloads(_documents(spark, sf_dir)))
+    """Stored as mu-law; the payload's A-law, ADPCM and resampled PCM files are made, read back and digested too."""
+    return media.decode_media(media.store_payloads(_documents(spark, sf_dir)), forms=True)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +85,12 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 12 shards by a hash of the id to 16 of equal bytes."""
-    old = F.pmod(F.xxhash64("doc_id"), F.lit(12))
-    out = sharding.reshard(_documents(spark, sf_dir), old)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """From 12 shards by a hash of the id to 16 of equal bytes: placed, rewritten and read back from the files of the new version."""
+    docs, path = _documents(spark, sf_dir).select("doc_id", "text"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.rewrite(docs.withColumn("old_shard", F.pmod(F.xxhash64("doc_id"), F.lit(12)).cast("int")), "old_shard", path)
+    text = F.coalesce("text", F.lit(""))
+    sized = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")
+    return sharding.read_shards(spark, path).select("doc_id", *sized, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,53 +137,53 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, capacities: li
     return out.select(F.col("id").alias(id_col), *named, "size", "text_crc32", "old_shard", "shard", (F.col("s_before") + F.col("r")).cast("long").alias("slot"))
 
 
-def read_manifest(spark: SparkSession, path: str) -> dict[int, str]:
-    """``shard: folder`` of the newest version; shards without rows are not in it."""
+def read_manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """(version, ``shard: folder``) of the newest version, (0, nothing) before the first; shards without rows are not in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return 0, {}
     rows = spark.read.parquet(f"{path}/manifest").collect()  # a row a shard and version
-    newest = max((r["version"] for r in rows), default=None)
-    return {r["shard"]: r["folder"] for r in rows if r["version"] == newest and r["folder"] is not None}
+    newest = max(r["version"] for r in rows)
+    return newest, {r["shard"]: r["folder"] for r in rows if r["version"] == newest and r["folder"] is not None}
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the newest version, with their ``shard``."""
+    by_version: dict[str, list[str]] = {}
+    for folder in read_manifest(spark, path)[1].values():
+        by_version.setdefault(folder.rpartition("/")[0], []).append(folder)
     out = None
-    for shard, folder in sorted(read_manifest(spark, path).items()):
-        part = spark.read.parquet(folder).withColumn("shard", F.lit(shard))
+    for base, folders in sorted(by_version.items()):
+        part = spark.read.option("basePath", base).parquet(*sorted(folders))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError(f"no shard of {path} has rows")
     return out
 
 
-def write_shards(docs: DataFrame, shard: Column, path: str, keep: dict[int, str] | None = None, version: int = 0) -> dict[int, str]:
-    """Write the rows of ``docs`` by shard into a folder of this version and publish it; ``keep``: shards whose files stay."""
-    spark = docs.sparkSession
-    folder = f"{path}/v{version}-{uuid.uuid4().hex[:8]}"
-    docs.withColumn("shard", shard.cast("int")).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
-    made = {r["shard"] for r in spark.read.parquet(folder).select("shard").distinct().collect()} if docs.limit(1).count() else set()  # shard numbers
-    where = {**(keep or {}), **{s: f"{folder}/shard={s}" for s in made}}
-    manifest = [(version, s, f) for s, f in sorted(where.items())] or [(version, -1, None)]
-    spark.createDataFrame(manifest, "version bigint, shard int, folder string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-    return where
-
+def rewrite(docs: DataFrame, old_col: str, path: str, shards: int = 16, capacities: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> dict[int, str]:
+    """Reshard the stored rows ``docs`` (``old_col``: the shard a row is in) and rewrite the files that this affects.
 
-def rewrite(docs: DataFrame, path: str, shards: int = 16, capacities: list[int] | None = None, old_col: str = "shard", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Reshard the stored rows ``docs`` (a column ``old_col`` tells their shard) and rewrite the files that this affects.
-
-    Shards that neither gain nor lose rows keep the files that the manifest in ``path`` names; a shard that loses all its rows
-    leaves the manifest. Old files are not touched, so readers of the former version and a failed job do no harm.
-    Returns ``reshard``'s rows. Rows are told apart by file and place, so ids may repeat or be null.
+    Files lie under ``path/v<version>-<name>/shard=N`` and hold the columns of ``docs`` (but for ``shard``) and ``slot``. Shards that
+    neither gain nor lose rows keep the files that the manifest names; a shard that loses all its rows leaves the manifest.
+    Old files are not touched, so readers of the former version and failed jobs do no harm. Rows are told apart by file
+    and place, so ids may repeat or be null. Returns the new manifest.
     """
     spark = docs.sparkSession
+    version, old = read_manifest(spark, path)
     rows, at = keyed(docs)
     placed = materialize(reshard(rows, F.col(at[old_col]), shards, capacities, at[id_col], at[text_col], carry=("row_file", "row_at")), "resharded")
-    moved = placed.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
-    touched = {r["s"] for r in moved.collect()}  # shard numbers
-    old = read_manifest(spark, path)
-    version = 1 + spark.read.parquet(f"{path}/manifest").agg(F.max("version")).first()[0]
-    mine = placed.where(F.col("shard").isin(*touched)) if touched else placed.limit(0)
-    place = mine.select(F.col("row_file").alias("p_file"), F.col("row_at").alias("p_at"), F.col("shard").alias("p_shard"))
-    inside = rows.join(place, (F.col("row_file") == F.col("p_file")) & (F.col("row_at") == F.col("p_at")))
-    names = [c for c in docs.columns if c != old_col]
-    write_shards(inside.select(*[F.col(at[c]).alias(c) for c in names], F.col("p_shard").alias("shard")), F.col("shard"), path, {s: f for s, f in old.items() if s not in touched}, version)
-    return placed.drop("row_file", "row_at").withColumnRenamed(at[id_col], id_col)
+    flows = placed.groupBy("old_shard", "shard").count().collect()  # at most old shards x new shards rows
+    touched = {s for r in flows if r["old_shard"] != r["shard"] for s in (r["old_shard"], r["shard"])}
+    stay = {s: f for s, f in old.items() if s not in touched}
+    made = {r["shard"] for r in flows} - set(stay)
+    folder = f"{path}/v{version + 1}-{uuid.uuid4().hex[:8]}"
+    if made:
+        place = placed.where(F.col("shard").isin(*made)).select(F.col("row_file").alias("p_file"), F.col("row_at").alias("p_at"), "shard", "slot")
+        joined = rows.join(place, (F.col("row_file") == F.col("p_file")) & (F.col("row_at") == F.col("p_at")))
+        names = [c for c in docs.columns if c not in ("shard", "slot")]
+        joined.select(*[F.col(at[c]).alias(c) for c in names], "slot", "shard").write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    where = stay | {s: f"{folder}/shard={s}" for s in made}
+    manifest = [(version + 1, s, f) for s, f in sorted(where.items())] or [(version + 1, -1, None)]
+    spark.createDataFrame(manifest, "version bigint, shard int, folder string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")  # published at once
+    return where

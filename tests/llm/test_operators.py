@@ -4,8 +4,10 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -85,6 +87,54 @@ def test_companding_and_adpcm():
     assert media.resample(np.array([0, 100, 200], np.int16), 8000, 16000).tolist() == [0, 50, 100, 150, 200, 200]
 
 
+def test_media_forms_against_plain_python(docs):
+    """Every further column from the payload, one sample after the other."""
+    seen = set()
+    for r in media.decode_media(media.store_payloads(docs), forms=True).collect():
+        t = next(x for i, x in texts() if i == r.doc_id and len(x.encode()) == r.n_bytes)
+        if len(t) > 2000 or t in seen:
+            continue
+        seen.add(t)
+        _, p = media.payload_of(t)
+        wav = media.write_wav(p, media.MU_LAW, 8000, 8)
+        assert (r.media_sha256, r.media_bytes, r.error) == (hashlib.sha256(wav).hexdigest(), len(wav), None)
+
+        def twice(s):
+            return [x for a, b in zip(s, s[1:] + s[-1:]) for x in (a, (a + b) // 2)]
+
+        def told(s):
+            return f"n={len(s)};min={min(s)};max={max(s)};abs={sum(map(abs, s))};energy={sum(x * x for x in s)};cross={sum((a < 0) != (b < 0) for a, b in zip(s, s[1:]))}"
+
+        mu, a = ([int(media.TABLES[k][b]) for b in p] for k in (media.MU_LAW, media.A_LAW))
+        assert r.feature == told(twice(mu)) and r.alaw_feature == told(twice(a))
+        assert r.alaw_sha256 == hashlib.sha256(media.write_wav(p, media.A_LAW, 8000, 8)).hexdigest()
+        assert r.pcm_sha256 == hashlib.sha256(media.write_wav(np.array(twice(mu), "<i2").tobytes(), media.PCM, 16000, 16)).hexdigest()
+        coded = media.encode_ima([np.array(mu, np.int16)])[0]
+        assert r.adpcm_sha256 == hashlib.sha256(media.write_wav(coded, media.IMA_ADPCM, 8000, 4, 256)).hexdigest()
+        assert r.adpcm_feature == told(media.decode_ima(coded, 256)[: len(mu)].tolist())
+    assert len(seen) > 20
+
+
+def test_adpcm_follows_the_sound():
+    rng = np.random.default_rng(8)
+    sound = (8000 * np.sin(np.arange(4000) / 20) + rng.normal(0, 50, 4000)).astype(np.int16)
+    files = media.encode_ima([sound, sound[:3], sound[:0], sound[:505]])
+    back = media.decode_ima_many(files, 256)
+    assert np.abs(back[0][200:4000].astype(int) - sound[200:]).mean() < 200
+    assert [len(b) % 505 for b in back] == [0] * 4 and len(back[2]) == 0
+    assert all((media.decode_ima(f, 256) == b).all() for f, b in zip(files, back))
+
+
+def test_media_that_cannot_be_read(spark):
+    good = media.write_wav(b"\x01" * 64, media.MU_LAW, 8000, 8)
+    bad = [None, b"", b"RIFF", good[:30], b"RIFF....WAVEdata\x04\0\0\0abcd", media.write_wav(b"abc", 99, 8000, 8)]
+    t = spark.createDataFrame([(i, 3, m) for i, m in enumerate([good, *bad])], "doc_id int, n_bytes bigint, media binary")
+    got = sorted(media.decode_media(t, forms=True).collect())
+    assert got[0].error is None and got[0].payload_bytes == 64
+    assert got[1].error is None and all(r.payload_sha256 is None and r.pcm_sha256 is None for r in got[1:])
+    assert all(r.error for r in got[2:])
+
+
 def test_tokens_equal_the_library(docs, empty):
     t = Tokenizer.from_file(vocabulary())
     want = Counter((i, len(s.encode()), len(t.encode(s, add_special_tokens=False).ids)) for i, s in texts())
@@ -98,6 +148,10 @@ def test_word_bpe_odd_texts():
     w = WordBpe(vocabulary(), limit=8)
     for s in ["", "  ", "<|endoftext|> a", "don't'S x'RE 12½²ªºµ ß ÿ Ā ſ İ ŉ", "a\x1cb\x85c", "é ﬁ", "a\0b", "!!!'s'll'd'", "日本 12", "A b C d E f G h I j K l"]:
         assert w.ids(s) == w.by_library(s), s
+        assert w.count(s) == len(w.by_library(s)) // 4, s
+    for n in range(1000):
+        w.count("x" * 100 + str(n))
+    assert max(map(len, [*w.cache, *w.counts, *w.counts.old])) <= 48 and len(w.counts) <= 8
 
 
 def test_packing(docs, empty):
@@ -123,6 +177,31 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, vocabulary()).count() == 0
 
 
+def test_packing_of_equal_ids_is_repeatable(spark):
+    """Rows of one id, or of none, with different texts: their order in the table does not matter."""
+    made = [(None if i % 2 else 7, " ".join(WORDS[: i % 11 + 1] * (i % 5 + 1))) for i in range(100)]
+    runs = []
+    for seed in (1, 2):
+        rows = list(made)
+        np.random.default_rng(seed).shuffle(rows)
+        t = spark.createDataFrame([tuple(None if x is None else (int(x) if k == 0 else str(x)) for k, x in enumerate(r)) for r in rows], "doc_id bigint, text string").repartition(seed + 1)
+        runs.append(Counter((r.doc_id, r.ids_crc32, r.length, r.sequence_id, r.offset) for r in packing.pack_documents(t, vocabulary(), 64, keep_ids=False).collect()))
+    assert runs[0] == runs[1] and sum(runs[0].values()) == len(runs[0]) == 100
+
+
+def test_sums_index_finds_what_is_there():
+    rng = np.random.default_rng(12)
+    counts = {int(x): int(n) for x, n in zip(rng.choice(np.arange(1, 60), 12, replace=False), rng.integers(1, 4, 12))}
+    index = packing.SumIndex(counts, 60)
+    for gap in range(1, 61):
+        got = index.complement(gap)
+        there = [x for x, n in counts.items() for _ in range(n)]
+        sizes = [n for n in (1, 2, 3) if any(sum(c) == gap for c in combinations(there, n))]
+        assert (got is None) == (not sizes)
+        if got:
+            assert sum(got) == gap and len(got) == sizes[0] and all(n <= counts[x] for x, n in Counter(got).items())
+
+
 def test_plan_uses_complements():
     plan = packing.plan_sequences({10: 3, 6: 2, 4: 2, 3: 2, 2: 2, 5: 1, 1: 4}, 10)
     used = Counter()
@@ -252,6 +331,27 @@ def brute_counts(s):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", s)), len(lines) - len(set(lines)), len(hit)
 
 
+def test_token_shapes_with_headers(spark):
+    """The further kinds, pem and jwt, against the library of regular expressions."""
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIE+/=abc\n"
+    made = [(1, f"x {key}-----END RSA PRIVATE KEY----- y"), (2, f"{key} and no end"), (3, "-----BEGIN PRIVATE KEY-----"), (4, "eyJabcdefgh.eyJabcdefghi.sig_-1 z"), (5, "eyJabc.eyJabcdefgh.x"), (6, f"é{key}é eyJ01234567.eyJ01234567.Q eyJ01234567.eyJ01234567.R"), (7, "PRIVATE KEY----- eyJ")]
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans if x.kind > 2] for r in secrets.scan(spark.createDataFrame(made, "doc_id int, text string"))[0].collect()}
+    for i, t in made:
+        want = [(3, m.start(), m.end()) for m in re.finditer(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?", t)]
+        want += [(4, m.start(), m.end()) for m in re.finditer(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", t)]
+        assert sorted(got[i], key=lambda x: x[1]) == sorted(want, key=lambda x: x[1])
+
+
+def test_batches_share_a_ledger(docs):
+    batches = secrets.arrivals(docs, 2)
+    assert sum(b.count() for b in batches) == docs.count() and all(b.count() for b in batches)
+    rows, ledger = secrets.scan_arrivals(batches)
+    assert ledger.count() == len({t for _, t in texts()})
+    assert Counter((r.doc_id, tuple((x.start, x.kind, x.end) for x in r.spans)) for r in rows.collect()) == Counter((i, tuple(brute_spans(s))) for i, s in texts())
+    _, new = secrets.scan(docs, ledger, version="v2")  # new rules scan all again
+    assert new.count() == ledger.count()
+
+
 def test_rules(docs, empty):
     got = rules.judge(docs).collect()
     want = Counter((i, *brute_counts(s)) for i, s in texts())
@@ -270,6 +370,61 @@ def test_rules_reject_what_stands_out(spark):
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(10))
 
 
+def top_of(v):
+    """The largest value that shares a bin with v: its six leading bits tell the bin."""
+    more = max(0, v.bit_length() - 6)
+    return ((v >> more) + 1 << more) - 1
+
+
+def brute_kept(rows):
+    """(kept, thresholds by language and source) of (lang, source, text), from sorted values."""
+    of = []
+    for lang, source, s in rows:
+        n, chars, symbols, dup, rep = brute_counts(s)
+        lines = len([x for x in s.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        upper = len(re.findall("[A-Z]", s))
+        base = n < 10 or 100 * rep > 20 * n
+        of.append((lang, source, base, (100000 * symbols // max(1, chars), 100000 * dup // max(1, lines), 100000 * rep // max(1, n), 100000 * upper // max(1, chars), 1000 * chars // max(1, n))))
+
+    def fence(values, k):
+        percent, times, least = list(rules.MEASURES.values())[k]
+        v = sorted(x[k] for x in values)
+        at = lambda q: top_of(v[-(-len(v) * q // 100) - 1])
+        return at(percent) + times * max(at(percent) - at(50), least)
+
+    limits = {}
+    for lang, source in {(x[0], x[1]) for x in of}:
+        fine, by_lang = ([x[3] for x in of if x[0] == lang and x[1] == source], [x[3] for x in of if x[0] == lang])
+        out = []
+        for k in range(5):
+            parent = (len(by_lang) * fence(by_lang, k) + 200 * fence([x[3] for x in of], k)) // (len(by_lang) + 200)
+            out.append((len(fine) * fence(fine, k) + 200 * parent) // (len(fine) + 200))
+        limits[(lang, source)] = out
+    return [not base and all(v <= t for v, t in zip(vs, limits[(lang, source)])) for lang, source, base, vs in of], limits
+
+
+def test_rules_verdict_and_thresholds(spark, docs):
+    """``kept`` against a verdict from sorted values; groups of different spread get different thresholds."""
+    rng = np.random.default_rng(13)
+    vocab = [a + b for a in WORDS for b in WORDS]
+    made = []
+    for i in range(900):
+        words = list(rng.choice(vocab, 60))
+        source, share = (("calm", 0.0), ("loud", 0.3), (None, 0.05))[i % 3]
+        for at in np.flatnonzero(rng.random(60) < share * rng.random()):
+            words[at] = words[at].upper() + "##"
+        made.append((i, " ".join(words), ["en", "de"][i % 2], source))
+    t = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string")
+    want, limits = brute_kept([(x[2], x[3], x[1]) for x in made])
+    got = {r.doc_id: r.kept for r in rules.judge(t).collect()}
+    assert [got[x[0]] for x in made] == want
+    found = {(r.t_lang, r.t_source): [r[f"t_{k}"] for k in rules.MEASURES] for r in rules.thresholds(rules.measure(t)).collect()}
+    assert found == limits
+    assert limits[("en", "loud")][0] > 2 * limits[("en", "calm")][0] and limits[("en", "loud")][3] > limits[("en", "calm")][3]
+    small = [(r[2], r[3], r[1] or "") for r in rows()]
+    assert Counter(r.kept for r in rules.judge(docs).collect()) == Counter(brute_kept(small)[0])
+
+
 def test_resharding(docs, empty, tmp_path):
     old = F.pmod(F.xxhash64("doc_id"), F.lit(3))
     got = sharding.reshard(docs, old, shards=4).collect()
@@ -280,11 +435,32 @@ def test_resharding(docs, empty, tmp_path):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert sharding.reshard(empty, old).count() == 0
     assert sharding.reshard(docs, F.when(F.col("doc_id") > 20, old), shards=4).count() == docs.count()
-    unique = docs.where("doc_id >= 10").dropDuplicates(["doc_id"])
-    placed = sharding.reshard(unique, old, shards=4)
-    touched = sharding.rewrite(unique, placed, str(tmp_path / "out"))
-    back = docs.sparkSession.read.parquet(str(tmp_path / "out"))
-    assert back.count() == placed.where(F.col("shard").isin(touched)).count()
+    sizes = [r["size"] for r in got]
+    bytes_of = Counter()
+    for r in got:
+        bytes_of[r.shard] += r["size"]
+    assert max(abs(bytes_of[j] - sum(sizes) / 4) for j in range(4)) <= max(sizes)
+
+
+def test_rewrite_grows_and_shrinks(spark, docs, tmp_path):
+    """Files hold each row once after every step, ids that repeat or are null included; shards that don't change keep their files."""
+    path = str(tmp_path / "shards")
+    whole = Counter((r.doc_id, r.text) for r in docs.collect())
+    read = lambda: sharding.read_shards(spark, path)
+    sharding.rewrite(docs.withColumn("was", F.pmod(F.xxhash64("doc_id"), F.lit(6))), "was", path, 6)
+    for shards in (4, 9, 2):
+        before = sharding.read_manifest(spark, path)[1]
+        sharding.rewrite(read(), "shard", path, shards)
+        now = read()
+        assert Counter((r.doc_id, r.text) for r in now.collect()) == whole
+        assert {r.shard for r in now.select("shard").distinct().collect()} <= set(range(shards))
+        by = defaultdict(list)
+        for r in now.collect():
+            by[r.shard].append(r.slot)
+        assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    before = sharding.read_manifest(spark, path)[1]
+    sharding.rewrite(read(), "shard", path, 2, [sum(len((r.text or "").encode()) + 1 for r in read().where(f"shard = {j}").collect()) for j in (0, 1)])
+    assert sharding.read_manifest(spark, path)[1] == before
 
 
 def test_flow_moves_the_fewest_bytes():
@@ -336,6 +512,68 @@ def test_url_filter(spark):
     assert urlfilter.filter_urls(c.limit(0), e).count() == 0 and urlfilter.filter_urls(c, e.limit(0)).where("blocked").count() == 0
 
 
+def brute_features(text):
+    """Bins of a text's features, a list for each table, by a plain loop over its words and bytes."""
+    kinds = [(lambda b: 65 <= b <= 90, 1), (lambda b: 97 <= b <= 122 or b >= 128, 2), (lambda b: 48 <= b <= 57, 4), (lambda b: b in b"#*$%&|<>", 8), (lambda b: b in b"!?", 16), (lambda b: b in b".,;:", 32)]
+    words, out, shapes, low, mix = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()), [[], [], [], []], [], (1 << 64) - 1, int(quality.MIX)
+    hashes = [sum((b + 1) * pow(quality.BASE, k % 256, 1 << 64) for k, b in enumerate(w)) & low for w in words]
+    for i, w in enumerate(words):
+        flags = 0
+        for b in w:
+            flags |= next((k for test, k in kinds if test(b)), 64)
+        back = next((d for d in (1, 2, 3, 4) if i >= d and words[i - d] == w), 0)
+        shapes.append((flags * 8 + min(len(w), 31) // 4) * 8 + back)
+        last = hashes[i - 1] if i else 0
+        for table, h in enumerate([hashes[i], shapes[i], (shapes[i] << 20) + (shapes[i - 1] + 1 if i else 0), (last ^ last >> 29) * mix + hashes[i] & low]):
+            out[table].append((h ^ h >> 31) * mix % (1 << 64) * quality.BINS >> 64)
+    return out
+
+
+def test_quality_weights_against_a_plain_model(spark):
+    """Counts, ratios, noise and the sample from dictionaries of bins."""
+    rng = np.random.default_rng(14)
+    vocab = [a + b for a in WORDS for b in WORDS]
+    made, labels = [(5000, None), (5001, ""), (5002, "one")], []
+    for i in range(150):
+        words = list(rng.choice(vocab, int(rng.integers(5, 60))))
+        bad = i % 4 == 0
+        made.append((i, " ".join(x.upper() + "!!" if rng.random() < 0.5 else x for x in words) + "\nÉ 12" if bad else " ".join(words)))
+        if i % 3:
+            labels.append((i, 0 if bad else 1))
+    t, l = spark.createDataFrame(made, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    fit = {i for i, _ in labels if xxh64_intdigest((8).to_bytes(4, "little"), xxh64_intdigest(i.to_bytes(8, "little"), 42)) % 2 == 0}
+    good = {i for i, q in labels if q}
+    raw, target = [Counter() for _ in range(4)], [Counter() for _ in range(4)]
+    for i, s in made:
+        for k, names in enumerate(brute_features(s)):
+            raw[k].update(names)
+            if i in fit & good:
+                target[k].update(names)
+    ratio = lambda k, f: np.log((target[k][f] + 4) / (raw[k][f] / sum(raw[k].values()) * sum(target[k].values()) + 4))
+    weight = {i: sum(ratio(k, f) for k, names in enumerate(brute_features(s)) for f in names) for i, s in made}
+    seen = [(weight[i], bool(q)) for i, q in labels if not (q and i in fit)]
+    cut = quality.best_cut(np.array([w for w, _ in seen]), np.array([g for _, g in seen]))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    noise = {i: -np.log(-np.log((signed(xxh64_intdigest((7).to_bytes(4, "little"), xxh64_intdigest(i.to_bytes(8, "little"), 42))) % (1 << 52) + 0.5) / (1 << 52))) for i, _ in made}
+    keys = {i: weight[i] + noise[i] for i, _ in made}
+    n = sum(w > cut for w in weight.values())
+    want = set(sorted(keys, key=keys.get, reverse=True)[:n])
+    got = {r.doc_id: (r.log_weight, r.gumbel_key) for r in quality.importance_resample(t, l).collect()}
+    assert set(got) == want and 0 < n < len(made)
+    assert all(abs(w - weight[i]) < 1e-6 and abs(key - keys[i]) < 1e-6 for i, (w, key) in got.items())
+    assert {r.doc_id for r in quality.importance_resample(t, l, keep_columns=True).collect()} == want
+
+
+def test_long_texts_have_the_same_features_in_parts(monkeypatch):
+    rng = np.random.default_rng(15)
+    text = " ".join(rng.choice(WORDS, 500)) + " " + "x" * 900 + "  \n" + "a b c d e f g h i j k l m " * 20 + "y" * 300
+    whole = [b for b, _, _ in quality._featured(pa.array([text]))]
+    for block in (1, 7, 64, 1000):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        parts = [b for b, _, _ in quality._featured(pa.array(["", text, None]))]
+        assert (np.concatenate(parts, axis=1) == np.concatenate(whole, axis=1)).all()
+
+
 def test_quality_held_out(spark, docs, empty):
     rng = np.random.default_rng(4)
     vocabulary_words = [a + b for a in WORDS for b in WORDS]
