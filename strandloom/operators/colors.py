@@ -36,13 +36,47 @@ def unitig_colors(index: DataFrame, colors: DataFrame) -> DataFrame:
 def mapping_colors(index: DataFrame, colors: DataFrame, mappings: DataFrame, every: bool = False) -> DataFrame:
     """``mappings`` columns and ``color`` for each color on some (or every) k-mer of mappings(unitig_id, dist, len)."""
     cols = mappings.columns
+    asked = mappings.select(*cols, F.explode(F.sequence(F.col("dist"), F.col("dist") + F.col("len") - 1)).alias("m_pos")).where(F.col("len") > 0)
     places = index.select(F.col("unitig_id").alias("i_id"), F.col("pos").alias("i_pos"), F.col("kmer").alias("i_kmer"))
-    inside = mappings.join(places, (F.col("unitig_id") == F.col("i_id")) & (F.col("i_pos") >= F.col("dist")) & (F.col("i_pos") < F.col("dist") + F.col("len")))
+    inside = asked.join(places, (F.col("unitig_id") == F.col("i_id")) & (F.col("m_pos") == F.col("i_pos")))
     colored = inside.join(colors.select(F.col("kmer").alias("c_kmer"), F.col("color").alias("c_color")), F.col("i_kmer") == F.col("c_kmer"))
     n = colored.groupBy(*cols, "c_color").agg(F.countDistinct("i_pos").alias("c_n"))
     return (n.where(F.col("c_n") == F.col("len")) if every else n).select(*cols, F.col("c_color").alias("color"))
 
 
+def _on(index: DataFrame, mappings: DataFrame, color) -> DataFrame:
+    """``kmer, color`` of all k-mers of ``mappings(unitig_id, dist, len)``."""
+    asked = mappings.where("len > 0").select(F.col("unitig_id").alias("m_id"), F.explode(F.sequence(F.col("dist"), F.col("dist") + F.col("len") - 1)).alias("m_pos"))
+    held = index.join(asked, (F.col("unitig_id") == F.col("m_id")) & (F.col("pos") == F.col("m_pos")))
+    return held.select("kmer", F.lit(color).alias("color")).distinct()
+
+
+def add_color(colors: DataFrame, index: DataFrame, mappings: DataFrame, color) -> DataFrame:
+    """``colors`` with the color on every k-mer of the mappings."""
+    return colors.select("kmer", "color").union(_on(index, mappings, color)).distinct()
+
+
+def remove_color(colors: DataFrame, index: DataFrame, mappings: DataFrame, color) -> DataFrame:
+    """``colors`` without the color on any k-mer of the mappings."""
+    gone = _on(index, mappings, color).withColumnsRenamed({"kmer": "g_kmer", "color": "g_color"})
+    return colors.select("kmer", "color").join(gone, (F.col("kmer") == F.col("g_kmer")) & F.col("color").eqNullSafe(F.col("g_color")), "left_anti")
+
+
+def color_sizes(index: DataFrame, colors: DataFrame, mappings: DataFrame) -> DataFrame:
+    """``mappings`` columns, ``color, n``: on how many k-mers of a mapping a color lies; their sum is the size of its color set."""
+    cols = mappings.columns
+    asked = mappings.where("len > 0").select(*cols, F.explode(F.sequence(F.col("dist"), F.col("dist") + F.col("len") - 1)).alias("m_pos"))
+    places = index.select(F.col("unitig_id").alias("i_id"), F.col("pos").alias("i_pos"), F.col("kmer").alias("i_kmer"))
+    held = asked.join(places, (F.col("unitig_id") == F.col("i_id")) & (F.col("m_pos") == F.col("i_pos")))
+    colored = held.join(colors.select(F.col("kmer").alias("c_kmer"), F.col("color").alias("c_color")), F.col("i_kmer") == F.col("c_kmer"))
+    return colored.groupBy(*cols, F.col("c_color").alias("color")).agg(F.countDistinct("i_pos").alias("n"))
+
+
+def color_max(index: DataFrame, colors: DataFrame) -> DataFrame:
+    """``unitig_id, color``: the last color, in the order of the colors, on any k-mer of a unitig."""
+    return index.select("unitig_id", "kmer").join(colors, "kmer").groupBy("unitig_id").agg(F.max("color").alias("color"))
+
+
 def color_bitmaps(colors: DataFrame) -> DataFrame:
     """``kmer, bucket, bitmap`` of ``colors(kmer, color_id)``: color sets as bitmaps that merge by or."""
     at = colors.select("kmer", F.bitmap_bucket_number("color_id").alias("bucket"), F.bitmap_bit_position("color_id").alias("bit"))

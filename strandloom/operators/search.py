@@ -34,7 +34,8 @@ def search(graph_kmers: DataFrame, records: DataFrame, k: int, name_col: str = "
 
 
 def _with_ratio(total: DataFrame, found: DataFrame) -> DataFrame:
-    out = total.join(found, "name", "left").select("name", "n_query", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"))
+    found = found.withColumnRenamed("name", "f_name")
+    out = total.join(found, F.col("name").eqNullSafe(F.col("f_name")), "left").select("name", "n_query", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"))
     return out.withColumn("ratio", F.when(F.col("n_query") > 0, F.col("n_found") / F.col("n_query")).otherwise(F.lit(0.0)))
 
 
@@ -52,7 +53,11 @@ def presence(graph_kmers: DataFrame, records: DataFrame, k: int, min_ratio: floa
 def search_colors(colors: DataFrame, records: DataFrame, k: int, name_col: str = "name", seq_col: str = "seq") -> DataFrame:
     """``name, color, n_query, n_found, ratio`` for every query and color with a hit."""
     hits = _asked(records, k, name_col, seq_col).join(colors.select("kmer", "color"), "kmer").groupBy("name", "color").agg(F.sum("n").alias("n_found"))
-    out = hits.join(windows(records, k, name_col, seq_col), "name")
+    return _color_ratios(hits, windows(records, k, name_col, seq_col))
+
+
+def _color_ratios(hits: DataFrame, total: DataFrame) -> DataFrame:
+    out = hits.join(total.withColumnRenamed("name", "t_name"), F.col("name").eqNullSafe(F.col("t_name")))
     return out.select("name", "color", "n_query", "n_found", (F.col("n_found") / F.col("n_query")).alias("ratio"))
 
 
@@ -73,17 +78,26 @@ def color_matrix(hits: DataFrame, names: DataFrame, colors: list, value: str = "
     return out.toDF("name", *[empty if c is None else str(c) for c in colors])
 
 
+def present_colors(found: DataFrame, min_ratio: float) -> DataFrame:
+    """``name, color`` pairs of ``found(name, color, n_query, n_found)`` with enough hits."""
+    return found.where(enough(F.col("n_found"), F.col("n_query"), min_ratio)).select("name", "color")
+
+
 def color_presence(colors: DataFrame, records: DataFrame, k: int, min_ratio: float, name_col: str = "name", seq_col: str = "seq") -> DataFrame:
     """``name, color`` pairs that are present."""
-    r = search_colors(colors, records, k, name_col, seq_col)
-    return r.where(enough(F.col("n_found"), F.col("n_query"), min_ratio)).select("name", "color")
+    return present_colors(search_colors(colors, records, k, name_col, seq_col), min_ratio)
+
+
+def in_colors(present: DataFrame, total: DataFrame, min_colors: int) -> DataFrame:
+    """``name, n_colors, present`` for each of ``total(name)``: 1 where at least ``min_colors`` of ``present(name, color)`` have the query."""
+    n = present.groupBy(F.col("name").alias("p_name")).agg(F.count("*").alias("n_colors"))
+    out = total.select("name").join(n, F.col("name").eqNullSafe(F.col("p_name")), "left").select("name", F.coalesce("n_colors", F.lit(0)).cast("long").alias("n_colors"))
+    return out.withColumn("present", (F.col("n_colors") >= min_colors).cast("int"))
 
 
 def presence_in_colors(colors: DataFrame, records: DataFrame, k: int, min_ratio: float, min_colors: int, name_col: str = "name", seq_col: str = "seq") -> DataFrame:
     """``name, n_colors, present``: 1 where at least ``min_colors`` colors have the query."""
-    n = color_presence(colors, records, k, min_ratio, name_col, seq_col).groupBy("name").agg(F.count("*").alias("n_colors"))
-    out = windows(records, k, name_col, seq_col).select("name").join(n, "name", "left").select("name", F.coalesce("n_colors", F.lit(0)).cast("long").alias("n_colors"))
-    return out.withColumn("present", (F.col("n_colors") >= min_colors).cast("int"))
+    return in_colors(color_presence(colors, records, k, min_ratio, name_col, seq_col), windows(records, k, name_col, seq_col), min_colors)
 
 
 def find(index: DataFrame, records: DataFrame, k: int, name_col: str = "name", seq_col: str = "seq", ends_only: bool = False, sizes: DataFrame | None = None) -> DataFrame:
@@ -114,28 +128,50 @@ def mapping_runs(index: DataFrame, records: DataFrame, k: int, name_col: str = "
     return out.select("name", "pos", "unitig_id", "dist", "len", (F.col("len") + k - 1).alias("size"), "strand")
 
 
-def search_inexact(graph_kmers: DataFrame, records: DataFrame, k: int, name_col: str = "name", seq_col: str = "seq", substitution: bool = True, insertion: bool = True, deletion: bool = True, exact: bool = True) -> DataFrame:
-    """``name, n_query, n_found, ratio``: positions hit exactly or by a k-mer one edit away.
-
-    Only positions without an exact hit are expanded, each different neighbour once. Positions are numbered over
-    all records of a name apart by record.
-    """
-    rows = records.select(F.col(name_col).alias("name"), F.monotonically_increasing_id().alias("rec"), F.col(seq_col).alias("seq"))
-    at = positioned(rows, k, ["name", "rec"]).select("name", "rec", "pos", "oriented", "kmer", "next_base")
-    there = graph_kmers.select("kmer", F.lit(True).alias("hit"))
-    marked = at.join(there, "kmer", "left")
+def _edited(x: Column, next_base: Column, k: int, substitution: bool, insertion: bool, deletion: bool) -> Column | None:
+    """The different canonical k-mers one edit away."""
     parts = []
-    x = F.col("oriented")
     if substitution:
         parts.append(dna.substitutions(x, k))
     if insertion:
         parts.append(dna.insertions(x, k))
     if deletion:
-        parts.append(F.when(F.col("next_base").isNotNull(), dna.deletions(x, F.col("next_base"), k)).otherwise(F.array().cast("array<bigint>")))
+        parts.append(F.when(next_base.isNotNull(), dna.deletions(x, next_base, k)).otherwise(F.array().cast("array<bigint>")))
+    return F.array_distinct(F.transform(F.concat(*parts), lambda y: dna.rep(y, k))) if parts else None
+
+
+def _placed(records: DataFrame, k: int, name_col: str, seq_col: str) -> DataFrame:
+    """Windows by query, record and place: positions are numbered over all records of a name apart by record."""
+    rows = records.select(F.col(name_col).alias("name"), F.monotonically_increasing_id().alias("rec"), F.col(seq_col).alias("seq"))
+    return positioned(rows, k, ["name", "rec"])
+
+
+def search_inexact(graph_kmers: DataFrame, records: DataFrame, k: int, name_col: str = "name", seq_col: str = "seq", substitution: bool = True, insertion: bool = True, deletion: bool = True, exact: bool = True) -> DataFrame:
+    """``name, n_query, n_found, ratio``: positions hit exactly or by a k-mer one edit away.
+
+    Only positions without an exact hit are expanded, each different neighbour once.
+    """
+    at = _placed(records, k, name_col, seq_col).select("name", "rec", "pos", "oriented", "kmer", "next_base")
+    marked = at.join(graph_kmers.select("kmer", F.lit(True).alias("hit")), "kmer", "left")
     hits = marked.where("hit").select("name", "rec", "pos")
-    if parts:
-        near = marked.where(F.col("hit").isNull()).select("name", "rec", "pos", F.explode(F.array_distinct(F.transform(F.concat(*parts), lambda y: dna.rep(y, k)))).alias("kmer"))
-        edited = near.join(graph_kmers.select("kmer"), "kmer", "left_semi").select("name", "rec", "pos").distinct()
+    near = _edited(F.col("oriented"), F.col("next_base"), k, substitution, insertion, deletion)
+    if near is not None:
+        asked = marked.where(F.col("hit").isNull()).select("name", "rec", "pos", F.explode(near).alias("kmer"))
+        edited = asked.join(graph_kmers.select("kmer"), "kmer", "left_semi").select("name", "rec", "pos").distinct()
         hits = hits.union(edited) if exact else edited
     found = hits.groupBy("name").agg(F.count("*").alias("n_found"))
     return _with_ratio(windows(records, k, name_col, seq_col), found)
+
+
+def search_colors_inexact(colors: DataFrame, records: DataFrame, k: int, name_col: str = "name", seq_col: str = "seq", substitution: bool = True, insertion: bool = True, deletion: bool = True, exact: bool = True) -> DataFrame:
+    """``name, color, n_query, n_found, ratio``: positions that hit a color exactly or by a k-mer one edit away.
+
+    A color counts a position once, by whichever k-mer; so positions with an exact hit are expanded too, for another color may
+    be one edit away.
+    """
+    at = _placed(records, k, name_col, seq_col)
+    own = F.array("kmer") if exact else F.array().cast("array<bigint>")
+    near = _edited(F.col("oriented"), F.col("next_base"), k, substitution, insertion, deletion)
+    asked = at.select("name", "rec", "pos", F.explode(F.array_distinct(F.concat(own, near) if near is not None else own)).alias("kmer"))
+    hits = asked.join(colors.select("kmer", "color"), "kmer").select("name", "rec", "pos", "color").distinct()
+    return _color_ratios(hits.groupBy("name", "color").agg(F.count("*").alias("n_found")), windows(records, k, name_col, seq_col))

@@ -291,6 +291,21 @@ def color_ratio(spark, sf_dir):
     return search.search_colors(_colored(spark, sf_dir), _items(spark, sf_dir), K).select("name", "color", "ratio")
 
 
+def _inexact_colors_sql() -> str:
+    hits = " UNION ALL ".join([f"SELECT item_id, pos, w AS y FROM q", _SUB, _INS, _DEL])
+    return f"""WITH {_COLORS},{_ITEMS},
+m AS (SELECT item_id, pos, w FROM q),
+m2 AS (SELECT q.item_id, q.pos, substring(seq, q.pos + 1, {K + 1}) AS w2 FROM q JOIN q_s ON q.item_id = q_s.item_id WHERE length(seq) >= q.pos + {K + 1} AND substring(seq, q.pos + {K + 1}, 1) <> 'N'),
+h AS (SELECT item_id AS name, color, count(DISTINCT pos) AS n_found FROM ({hits}) e JOIN c ON {_canon('y')} = c.kmer GROUP BY 1, 2)
+SELECT h.name, color, n_query, CAST(n_found AS BIGINT) AS n_found FROM h JOIN t ON h.name = t.name"""
+
+
+@query(_inexact_colors_sql())
+def color_inexact(spark, sf_dir):
+    """Positions of each benchmark item that hit a color exactly or by one edit."""
+    return search.search_colors_inexact(_colored(spark, sf_dir), _items(spark, sf_dir), K).select("name", "color", "n_query", "n_found")
+
+
 SOURCES = [f"src{i}" for i in range(20)]
 
 
@@ -337,7 +352,7 @@ def color_presence_min2(spark, sf_dir):
 def core_kmers(spark, sf_dir):
     """K-mers that every color has."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n = docs.agg(F.countDistinct("source").alias("n_all"))
+    n = docs.agg((F.countDistinct("source") + F.coalesce(F.max(F.col("source").isNull().cast("int")), F.lit(0))).alias("n_all"))  # a null source is a color too
     each = _colored(spark, sf_dir).groupBy("kmer").agg(F.count("*").alias("n"))
     return each.join(F.broadcast(n), F.col("n") == F.col("n_all")).select(dna.unpack(F.col("kmer"), K).alias("kmer"))  # one row
 
@@ -348,7 +363,7 @@ def color_bitmaps(spark, sf_dir):
     from strandloom.operators.colors import color_table
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ids = _colored(spark, sf_dir).join(color_table(docs, "source"), F.col("color") == F.col("name")).select("kmer", "color_id")
+    ids = _colored(spark, sf_dir).join(color_table(docs, "source"), F.col("color").eqNullSafe(F.col("name"))).select("kmer", "color_id")
     maps = C.color_bitmaps(ids).groupBy("kmer").agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
     return maps.select(dna.unpack(F.col("kmer"), K).alias("kmer"), "n")
 

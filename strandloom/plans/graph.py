@@ -152,20 +152,16 @@ class Graph:
             raise ValueError(f"unknown mode {mode}")
         if (mode == "presence") != (min_ratio is not None) or (min_colors is not None and (min_ratio is None or self.colors is None)):
             raise ValueError("presence goes with min_ratio, and min_colors with presence on a colored graph")
-        if approximate:
-            if self.colors is not None:
-                raise ValueError("approximate queries are for graphs without colors")
-            found = search.search_inexact(self.kmers, records, self.k, name_col)
+        if self.colors is None:
+            found = (search.search_inexact if approximate else search.search)(self.kmers, records, self.k, name_col)
             if mode == "presence":
                 return found.select("name", search.enough(F.col("n_found"), F.col("n_query"), min_ratio).cast("int").alias("present"))
             return found
-        if self.colors is None:
-            return search.presence(self.kmers, records, self.k, min_ratio, name_col) if mode == "presence" else search.search(self.kmers, records, self.k, name_col)
+        found = (search.search_colors_inexact if approximate else search.search_colors)(self.colors, records, self.k, name_col)
         if mode != "presence":
-            return search.search_colors(self.colors, records, self.k, name_col)
-        if min_colors is None:
-            return search.color_presence(self.colors, records, self.k, min_ratio, name_col)
-        return search.presence_in_colors(self.colors, records, self.k, min_ratio, min_colors, name_col)
+            return found
+        present = search.present_colors(found, min_ratio)
+        return present if min_colors is None else search.in_colors(present, search.windows(records, self.k, name_col), min_colors)
 
     def find(self, records: DataFrame, name_col: str = "name", ends_only: bool = False) -> DataFrame:
         return search.find(self.index, records, self.k, name_col, ends_only=ends_only, sizes=self.unitigs)
