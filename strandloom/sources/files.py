@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ def sniff(spark: SparkSession, path: str) -> str:
     """'fasta', 'fastq', 'gfa', 'graph' (a folder written by store.write) or 'unknown', by the first line."""
     try:
         first = spark.read.text(path).limit(1).collect()
-    except Exception:  # not readable as text: a folder of columns
+    except AnalysisException:  # a folder without files of its own
         first = []
     line = first[0]["value"] if first else ""
     if line.startswith(">"):
@@ -26,7 +27,7 @@ def sniff(spark: SparkSession, path: str) -> str:
         return "gfa"
     try:
         return "graph" if {"k", "g", "version"} <= set(spark.read.parquet(f"{path}/meta").columns) else "unknown"
-    except Exception:  # no such folder
+    except AnalysisException:  # no such folder
         return "unknown"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,6 @@ def read(spark: SparkSession, path: str) -> dict:
         out["colors"] = spark.read.parquet(f"{path}/colors")
         try:
             out["names"] = spark.read.parquet(f"{path}/names")
-        except Exception:  # written without names
+        except AnalysisException:  # written without names
             out["names"] = None
     return out
