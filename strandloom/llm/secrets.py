@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keyed, materialize
+from .scratch import keyed, let, materialize
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -30,29 +30,40 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 class Rule:
     """Matches of ``pattern`` (leftmost, not overlapping) whose ``group`` has ``least`` characters or more.
 
-    ``hint``: a quick test that holds for every text with a match; None: the pattern itself.
+    ``hints``: every text with a match holds one of these, ``fold``: in small letters; without hints the pattern itself is the quick test.
     """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
-    hint: str | None = None
+    hints: tuple[str, ...] = ()
+    fold: bool = False
 
 
 #: The first three are the base; their runs of a class are maximal, so a least length can stand in the pattern.
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]{16,}", hint="AKIA"),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, ("password", "passwd", "secret", "token", "api_key", "apikey"), fold=True),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", hints=("AKIA",)),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?", hint="PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hint="eyJ"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?", hints=("PRIVATE KEY-----",)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hints=("eyJ",)),
 )
 RULE_VERSION = "v1"
 
 
 def may_match(text: Column, rule: Rule) -> Column:
-    return F.contains(text, F.lit(rule.hint)) if rule.hint else text.rlike(rule.pattern)
+    """A quick test that holds for every text with a match."""
+    if not rule.hints:
+        return text.rlike(rule.pattern)
+
+    def held(t: Column) -> Column:
+        there = F.lit(False)
+        for h in rule.hints:
+            there = there | F.contains(t, F.lit(h))
+        return there
+
+    return let(F.lower(text), held) if rule.fold else held(text)
 
 
 def find(text: Column, number: int, rule: Rule) -> Column:
