@@ -43,8 +43,8 @@ FOURS = [(2 * a, 2 * a + 1, 2 * b, 2 * b + 1) for a, b in combinations(range(4),
 SIXES = list(combinations(range(BYTES), BYTES - 2))
 #: Positional bytes of a min-hash fingerprint and how many a posting holds. Of pairs with a similarity of 0.8, 2 in 10,000 share no posting (calculated).
 POSITIONS, HELD = 252, 7
-#: Shared positional bytes that a pair needs. At 0.8 the mean is 202 and the deviation 6.4, so 3 in 10 million have fewer (calculated).
-LEAST = 170
+#: Shared positional bytes that a pair needs. At 0.8 the mean is 202 and the deviation 6.4, so 1 in 1000 have fewer (calculated).
+LEAST = 182
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -186,24 +186,21 @@ def min_hashes(found: np.ndarray) -> np.ndarray:
     return least
 
 
-def positional_bytes(found: np.ndarray) -> np.ndarray:
-    """A fingerprint of POSITIONS bytes: a byte of a hash of each min-hash, which itself is small. Zero bytes fill the last of its longs."""
-    out, least = np.zeros(-(-POSITIONS // BYTES) * BYTES, np.uint8), min_hashes(found)
-    out[:POSITIONS] = ((least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(56)
-    return out
-
+def postings(found: np.ndarray) -> np.ndarray:
+    """A fingerprint of POSITIONS bytes as longs, HELD bytes each under their group's number: these are its postings.
 
-def posting_keys(words: np.ndarray) -> np.ndarray:
-    """Longs of HELD positional bytes under the number of their group of positions."""
-    held = words.view(np.uint8)[:POSITIONS].reshape(-1, HELD).astype(np.int64)
-    keys = np.arange(len(held), dtype=np.int64)
+    A byte is that of a hash of a min-hash, which itself is small.
+    """
+    least = min_hashes(found)
+    held = (((least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(56)).astype(np.int64).reshape(-1, HELD)
+    out = np.arange(len(held), dtype=np.int64)
     for column in held.T:
-        keys = (keys << 8) | column
-    return keys
+        out = (out << 8) | column
+    return out
 
 
 def signatures(docs: DataFrame, size: int, key_col: str, text_col: str) -> DataFrame:
-    """``key, same, words``: a digest of the shingle set, equal for equal sets, and its fingerprint as longs; null for texts without words."""
+    """``key, same, words``: a digest of the shingle set, equal for equal sets, and its fingerprint (``postings``); null for texts without words."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +209,7 @@ def signatures(docs: DataFrame, size: int, key_col: str, text_col: str) -> DataF
             for text in b.column(1):
                 found = np.unique(shingles(text.as_py(), size))
                 same.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                words.append(positional_bytes(found).view(np.int64) if len(found) else None)
+                words.append(postings(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(words, pa.list_(pa.int64()))], ["key", "same", "words"])
 
     rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
@@ -233,23 +230,23 @@ def shingle_sets(docs: DataFrame, size: int, key_col: str, text_col: str) -> Dat
 
 
 def postings_of(prints: DataFrame) -> DataFrame:
-    """``posting, node, leader`` of ``prints(node, words)``; the leader is the smallest node. Postings of one member are left out."""
+    """``posting, node, n`` of ``prints(node, words)``, n the members of a posting. Postings of one member are left out."""
+    index = prints.select(F.explode("words").alias("posting"), "node")
+    shared = index.groupBy(F.col("posting").alias("s_posting")).agg(F.count("*").alias("n")).where("n > 1")
+    return index.join(shared, F.col("posting") == F.col("s_posting")).select("posting", "node", "n")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-            made = np.concatenate([posting_keys(np.ascontiguousarray(w)) for w in words]) if b.num_rows else np.zeros(0, np.int64)
-            each = np.repeat(np.arange(b.num_rows), POSITIONS // HELD)
-            yield pa.RecordBatch.from_arrays([pa.array(made), b.column(0).take(pa.array(each))], ["posting", "node"])
 
-    index = prints.where(F.col("words").isNotNull()).select("node", "words").mapInArrow(lean(run), "posting bigint, node bigint")
-    shared = index.groupBy(F.col("posting").alias("s_posting")).agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    return index.join(shared, F.col("posting") == F.col("s_posting")).select("posting", "node", "leader")
+def with_leaders(index: DataFrame) -> DataFrame:
+    """``posting, node, leader`` of a written ``index(posting, node, n)``: the member that meets most others leads, for in a group around an original that is the original."""
+    met = index.groupBy(F.col("node").alias("d_node")).agg(F.sum("n").alias("met"))
+    ranked = index.join(met, F.col("node") == F.col("d_node"))
+    first = ranked.groupBy(F.col("posting").alias("l_posting")).agg(F.max(F.struct("met", "node")).alias("m"))
+    return index.join(first, F.col("posting") == F.col("l_posting")).select("posting", "node", F.col("m.node").alias("leader"))
 
 
 def tally(x: Column, y: Column) -> Column:
-    """How many of the POSITIONS bytes of two fingerprints agree; the bytes that fill the last long always do."""
-    return F.aggregate(F.zip_with(x, y, shared_bytes), F.lit(POSITIONS % BYTES - BYTES if POSITIONS % BYTES else 0), lambda acc, n: acc + n)
+    """How many of the POSITIONS bytes of two fingerprints agree; the numbers of their groups always do."""
+    return F.aggregate(F.zip_with(x, y, shared_bytes), F.lit(-(POSITIONS // HELD)), lambda acc, n: acc + n)
 
 
 def count_filter(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -288,8 +285,9 @@ def similar_links(index: DataFrame, prints: DataFrame, sets: DataFrame, similari
     x = outside.join(words, F.col("o_node") == F.col("w_node")).select("o_posting", "o_node", "o_mine", F.col("words").alias("x"))
     mixed = outside.select(F.col("o_posting").alias("m_posting")).distinct()
     y = placed.join(mixed, F.col("posting") == F.col("m_posting")).join(words, F.col("node") == F.col("w_node")).select("posting", "node", "mine", "led", F.col("words").alias("y"))
-    # A pair of two such members is met from both sides: one is enough.
-    meet = (F.col("posting") == F.col("o_posting")) & (F.col("mine") != F.col("o_mine")) & ((F.col("mine") == F.col("led")) | (F.col("o_node") < F.col("node"))) & (tally(F.col("x"), F.col("y")) >= LEAST)
+    # A pair is counted in the first posting that both are in; one of two such members is met from both sides, once is enough.
+    first = F.coalesce(F.get(F.array_intersect("x", "y"), F.lit(0)), F.col("posting")) == F.col("posting")
+    meet = (F.col("posting") == F.col("o_posting")) & (F.col("mine") != F.col("o_mine")) & ((F.col("mine") == F.col("led")) | (F.col("o_node") < F.col("node"))) & first & (tally(F.col("x"), F.col("y")) >= LEAST)
     crossing = x.join(y, meet).select(F.least("o_node", "node").alias("a"), F.greatest("o_node", "node").alias("b")).distinct()
     return stars.union(verified(crossing))
 
@@ -305,12 +303,13 @@ def deduplicate_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     first = F.min(F.struct("row_file", "row_at"))
     distinct = found.groupBy(F.col("same").alias("n_same")).agg(F.first("words").alias("words"), first["row_file"].alias("n_file"), first["row_at"].alias("n_at"))
     prints = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "prints")
-    index = materialize(postings_of(prints), "similar-postings")
+    met = materialize(postings_of(prints), "similar-postings")
+    index = materialize(with_leaders(met), "led-postings")
     wanted = prints.join(index.select(F.col("node").alias("i_node")).distinct(), F.col("node") == F.col("i_node"), "left_semi").select("n_file", "n_at", "node")
     texts = rows.select("row_file", "row_at", F.col(at[text_col]).alias("t")).join(wanted, (F.col("row_file") == F.col("n_file")) & (F.col("row_at") == F.col("n_at"))).select("node", "t")
     sets = materialize(shingle_sets(texts, size, "node", "t"), "shingle-sets")
     labels = connected_components(similar_links(index, prints, sets, similarity)).select(F.col("node").alias("l_node"), "component")
-    forget(sets, index)
+    forget(sets, index, met)
     rooted = found.join(prints.select("n_same", "node"), F.col("same") == F.col("n_same")).join(labels, F.col("node") == F.col("l_node"), "left")
     kept = materialize(_first_rows(rooted.withColumn("root", F.coalesce("component", "node"))), "kept-rows")
     forget(found, prints)

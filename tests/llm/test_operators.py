@@ -285,13 +285,12 @@ def test_links_find_every_component(spark, bits):
 
 def test_shared_bytes_and_tally(spark):
     rng = np.random.default_rng(6)
-    x, y = rng.integers(-(1 << 63), 1 << 63, (40, 32)), rng.integers(-(1 << 63), 1 << 63, (40, 32))
-    y[::2] = x[::2] ^ (rng.integers(0, 256, (20, 32)) << rng.integers(0, 56, (20, 32)))
-    x.view(np.uint8).reshape(40, -1)[:, neardup.POSITIONS :] = 0
-    y.view(np.uint8).reshape(40, -1)[:, neardup.POSITIONS :] = 0
-    want = [int((a.view(np.uint8)[: neardup.POSITIONS] == b.view(np.uint8)[: neardup.POSITIONS]).sum()) for a, b in zip(x, y)]
-    t = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "i int, x array<bigint>, y array<bigint>")
-    assert [r.n for r in t.select("i", neardup.tally(F.col("x"), F.col("y")).alias("n")).orderBy("i").collect()] == want
+    n, held = neardup.POSITIONS // neardup.HELD, neardup.HELD
+    x, y = rng.integers(0, 256, (40, n, held)), rng.integers(0, 256, (40, n, held))
+    y = np.where(rng.random(y.shape) < np.linspace(0, 1, 40)[:, None, None], x, y)
+    packed = lambda a: [[int.from_bytes(bytes([i, *map(int, g)])) for i, g in enumerate(row)] for row in a]
+    t = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(packed(x), packed(y)))], "i int, x array<bigint>, y array<bigint>")
+    assert [r.n for r in t.select("i", neardup.tally(F.col("x"), F.col("y")).alias("n")).orderBy("i").collect()] == (x == y).sum(axis=(1, 2)).tolist()
 
 
 def brute_spans(s):
