@@ -65,8 +65,8 @@ def test_one_posting_loses_no_link(spark):
     """All texts meet in one posting: the star and the members outside it decide alone."""
     rows = [(i, t) for i, t in made()[40:118] if t and t.strip()]
     docs = spark.createDataFrame(rows, "node bigint, text string")
-    prints = materialize(neardup.signatures(docs, 5, "node", "text").select(F.col("key").alias("node"), "words"), "test")
-    index = docs.select(F.lit(1).cast("long").alias("posting"), "node", F.lit(rows[0][0]).cast("long").alias("leader"))
+    prints = materialize(neardup.signatures(docs, 5, "node", "text").select(F.col("key").alias("node"), F.concat(F.array(F.lit(7).cast("long")), F.slice("words", 2, 35)).alias("words")), "test")
+    index = docs.select(F.lit(7).cast("long").alias("posting"), "node", F.lit(rows[0][0]).cast("long").alias("leader"))
     links = neardup.similar_links(index, prints, neardup.shingle_sets(docs, 5, "node", "text")).collect()
     root = {i: i for i, _ in rows}
 
