@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from .kmers import kmers
 
 
-def color_table(records: DataFrame, name_col: str) -> DataFrame:
-    """``color_id, name``: inputs numbered from 0 in the order of their names; one row an input."""
-    names = records.select(F.col(name_col).alias("name")).distinct()
-    return names.select((F.row_number().over(W.orderBy("name")) - 1).cast("int").alias("color_id"), "name")
+def color_table(records: DataFrame, name_col: str, order_col: str | None = None) -> DataFrame:
+    """``color_id, name``: inputs numbered from 0 in the order of their names, or of their first ``order_col`` (such as file_id); one row an input."""
+    names = records.groupBy(F.col(name_col).alias("name")).agg(F.min(order_col if order_col else name_col).alias("place"))
+    return names.select((F.row_number().over(W.orderBy("place", "name")) - 1).cast("int").alias("color_id"), "name")
 
 
 def color_kmers(graph_kmers: DataFrame, records: DataFrame, k: int, color_col: str, seq_col: str = "seq") -> DataFrame:

@@ -334,6 +334,12 @@ def color_presence(spark, sf_dir):
     return search.color_presence(_colored(spark, sf_dir), _items(spark, sf_dir), K, 0.5)
 
 
+@query(f"WITH {_COLORS},{_ITEMS},\n{_HITS},\n{_PRESENT_COLORS.replace('0.5::', '0.01::')}\nSELECT name, color FROM p")
+def color_presence_some(spark, sf_dir):
+    """Colors that hold a hundredth of an item's k-mers, and one at least."""
+    return search.color_presence(_colored(spark, sf_dir), _items(spark, sf_dir), K, 0.01)
+
+
 @query(f"WITH {_COLORS},{_ITEMS},\n{_HITS},\n{_PRESENT_COLORS}\nSELECT t.name, {_matrix('1', 'INTEGER')} FROM t LEFT JOIN p ON t.name = p.name GROUP BY 1")
 def color_presence_matrix(spark, sf_dir):
     """1 where a color has half of a query's k-mers or more, else 0."""

@@ -106,3 +106,9 @@ def test_colors_of_mappings_can_be_changed(spark):
         best[r.unitig_id] = max(best.get(r.unitig_id, ""), r.color)
     assert top == best
     assert C.check_colors(g.kmers, refs, colors, 5, "c").count() == 0 and C.check_colors(g.kmers, refs, more, 5, "c").count() == 2
+
+
+def test_colors_numbered_in_input_order(spark):
+    t = spark.createDataFrame([("z.fa", 0), ("a.fa", 1), ("z.fa", 0), ("m.fa", 2)], "file_name string, file_id int")
+    assert [(r.color_id, r.name) for r in C.color_table(t, "file_name", "file_id").orderBy("color_id").collect()] == [(0, "z.fa"), (1, "a.fa"), (2, "m.fa")]
+    assert [r.name for r in C.color_table(t, "file_name").orderBy("color_id").collect()] == ["a.fa", "m.fa", "z.fa"]
