@@ -528,18 +528,8 @@ def brute_features(text):
     return out
 
 
-def test_quality_weights_against_a_plain_model(spark):
-    """Counts, ratios, noise and the sample from dictionaries of bins."""
-    rng = np.random.default_rng(14)
-    vocab = [a + b for a in WORDS for b in WORDS]
-    made, labels = [(5000, None), (5001, ""), (5002, "one")], []
-    for i in range(150):
-        words = list(rng.choice(vocab, int(rng.integers(5, 60))))
-        bad = i % 4 == 0
-        made.append((i, " ".join(x.upper() + "!!" if rng.random() < 0.5 else x for x in words) + "\nÉ 12" if bad else " ".join(words)))
-        if i % 3:
-            labels.append((i, 0 if bad else 1))
-    t, l = spark.createDataFrame(made, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+def brute_sample(made, labels):
+    """(weight and key of each id, the ids the sample keeps) from dictionaries of bins; ids are unique."""
     fit = {i for i, _ in labels if xxh64_intdigest((8).to_bytes(4, "little"), xxh64_intdigest(i.to_bytes(8, "little"), 42)) % 2 == 0}
     good = {i for i, q in labels if q}
     raw, target = [Counter() for _ in range(4)], [Counter() for _ in range(4)]
@@ -556,9 +546,24 @@ def test_quality_weights_against_a_plain_model(spark):
     noise = {i: -np.log(-np.log((signed(xxh64_intdigest((7).to_bytes(4, "little"), xxh64_intdigest(i.to_bytes(8, "little"), 42))) % (1 << 52) + 0.5) / (1 << 52))) for i, _ in made}
     keys = {i: weight[i] + noise[i] for i, _ in made}
     n = sum(w > cut for w in weight.values())
-    want = set(sorted(keys, key=keys.get, reverse=True)[:n])
+    return weight, keys, set(sorted(keys, key=keys.get, reverse=True)[:n])
+
+
+def test_quality_weights_against_a_plain_model(spark):
+    """Counts, ratios, noise and the sample from dictionaries of bins."""
+    rng = np.random.default_rng(14)
+    vocab = [a + b for a in WORDS for b in WORDS]
+    made, labels = [(5000, None), (5001, ""), (5002, "one")], []
+    for i in range(150):
+        words = list(rng.choice(vocab, int(rng.integers(5, 60))))
+        bad = i % 4 == 0
+        made.append((i, " ".join(x.upper() + "!!" if rng.random() < 0.5 else x for x in words) + "\nÉ 12" if bad else " ".join(words)))
+        if i % 3:
+            labels.append((i, 0 if bad else 1))
+    t, l = spark.createDataFrame(made, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    weight, keys, want = brute_sample(made, labels)
     got = {r.doc_id: (r.log_weight, r.gumbel_key) for r in quality.importance_resample(t, l).collect()}
-    assert set(got) == want and 0 < n < len(made)
+    assert set(got) == want and 0 < len(want) < len(made)
     assert all(abs(w - weight[i]) < 1e-6 and abs(key - keys[i]) < 1e-6 for i, (w, key) in got.items())
     assert {r.doc_id for r in quality.importance_resample(t, l, keep_columns=True).collect()} == want
 
