@@ -21,6 +21,17 @@ def color_kmers(graph_kmers: DataFrame, records: DataFrame, k: int, color_col: s
     return seen.join(graph_kmers.select("kmer"), "kmer", "left_semi")
 
 
+def count_colors(records: DataFrame, k: int, color_col: str, min_count: int = 1, seq_col: str = "seq") -> DataFrame:
+    """``kmer, color`` of k-mers seen ``min_count`` times or more in all inputs together: the inputs are read and cut once.
+
+    Counts by k-mer and color are combined before the shuffle; then a k-mer has a row a color at most.
+    """
+    pairs = kmers(records, k, keep=[color_col], seq_col=seq_col).groupBy("kmer", F.col(color_col).alias("color")).agg(F.count("*").alias("n"))
+    if min_count <= 1:
+        return pairs.select("kmer", "color")
+    return pairs.withColumn("total", F.sum("n").over(W.partitionBy("kmer"))).where(F.col("total") >= min_count).select("kmer", "color")
+
+
 def colors_per_kmer(colors: DataFrame) -> DataFrame:
     """``n_colors, kmers``: how many k-mers have so many colors."""
     return colors.groupBy("kmer").agg(F.count("*").alias("n_colors")).groupBy("n_colors").agg(F.count("*").alias("kmers"))

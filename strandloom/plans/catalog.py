@@ -261,8 +261,7 @@ _HITS = f"h AS (SELECT item_id AS name, color, count(*) AS n_found FROM q JOIN c
 
 
 def _colored(spark, sf_dir) -> DataFrame:
-    docs = _documents(spark, sf_dir, "source")
-    return C.color_kmers(kmers.count_kmers(docs, K, 2), docs, K, "source")
+    return C.count_colors(_documents(spark, sf_dir, "source"), K, "source", 2)
 
 
 @query(f"WITH {_COLORS} SELECT color, count(*) AS kmers FROM c GROUP BY 1")

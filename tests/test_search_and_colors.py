@@ -112,3 +112,10 @@ def test_colors_numbered_in_input_order(spark):
     t = spark.createDataFrame([("z.fa", 0), ("a.fa", 1), ("z.fa", 0), ("m.fa", 2)], "file_name string, file_id int")
     assert [(r.color_id, r.name) for r in C.color_table(t, "file_name", "file_id").orderBy("color_id").collect()] == [(0, "z.fa"), (1, "a.fa"), (2, "m.fa")]
     assert [r.name for r in C.color_table(t, "file_name").orderBy("color_id").collect()] == ["a.fa", "m.fa", "z.fa"]
+
+
+def test_colors_counted_in_one_pass(spark):
+    t = spark.createDataFrame([("a", "ACGTTGCAAC"), ("b", "ACGTTG"), (None, "ACGTT"), ("b", "GGGGGGGG")], "c string, seq string")
+    for least in (1, 2, 3, 5):
+        two = C.color_kmers(kmers.count_kmers(t, 5, least), t, 5, "c")
+        assert sorted(C.count_colors(t, 5, "c", least).collect(), key=str) == sorted(two.collect(), key=str)
