@@ -1,4 +1,8 @@
-"""Documents to packed training sequences: five stages, each written before the next reads it."""
+"""Documents to packed training sequences: five stages, each written before the next reads it.
+
+Nulls, empty and very long texts, ties, repeated rows and extra columns go through each stage as its operator's module says; an
+empty table gives an empty table. A stage's table is deleted once the next one has been written.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm import mixing, neardup, packing, quality, secrets
 from strandloom.llm.queries import vocabulary
-from strandloom.llm.scratch import materialize
+from strandloom.llm.scratch import forget, materialize
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{i}")
+            if i > 0:
+                forget(before)
     return docs
