@@ -189,12 +189,19 @@ def log_weight(spark: SparkSession, table: np.ndarray) -> Callable[[Column], Col
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(table.astype(np.float64))  # TABLES * BINS numbers, whatever the corpus
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lr = sent.value
+        for texts in batches:
+            out = np.zeros(len(texts))
+            for bins, starts, text in _featured(texts):
+                out[text] += np.add.reduceat(lr[bins].sum(axis=0), starts)
+            yield pa.array(out)
+
+    give_back = lean(run)
+
     @F.arrow_udf("double")
-    def weigh(texts: pa.Array) -> pa.Array:
-        lr, out = sent.value, np.zeros(len(texts))
-        for bins, starts, text in _featured(texts):
-            out[text] += np.add.reduceat(lr[bins].sum(axis=0), starts)
-        return pa.array(out)
+    def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from give_back(batches)
 
     return weigh
 

@@ -86,7 +86,7 @@ class WordBpe:
     ``proved``: what ``prove`` found for this vocabulary. At most 2 * ``limit`` chunks of LONGEST characters are kept.
     """
 
-    def __init__(self, path: str, proved: dict[str, int] | None = None, limit: int = 200_000):
+    def __init__(self, path: str, proved: dict[str, int] | None = None, limit: int = 60_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
