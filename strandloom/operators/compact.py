@@ -1,8 +1,8 @@
 """Compaction: from a set of k-mers to unitigs.
 
 Oriented k-mers meet at junctions, the k-1 bases they share. A junction with one k-mer ending in it
-and one beginning with it is a link; grouping by junction finds all links without a self-join. Links
-form paths and cycles, and pointer doubling gives every k-mer its head and place. A palindrome
+and one beginning with it is a link; links form paths and cycles. Tasks follow them within buckets of junctions
+(``compact_local``), and pointer doubling gives every chain its head and place. A palindrome
 (even k) has an arriving and a departing copy, so paths end in it or begin with it.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import dna
 from strandloom.plans.stage import materialize
 
-from .compact_local import MOST_LINKS, solve_links
+from .compact_local import CHAIN, HALF, MOST_LINKS, RING, SINGLE, bucketed, chains, named, solve_links, unitig_kmers
 
 
 def oriented(kmers: DataFrame, k: int) -> DataFrame:
@@ -30,41 +30,26 @@ def node_twin(x: Column, k: int) -> Column:
     return F.when(other != plain, other).otherwise(x.bitwiseXOR(dna.lit(dna.DEPART)))
 
 
-def junctions(kmers: DataFrame, k: int) -> DataFrame:
-    """``j, n_left, n_right, left, right``: by junction, how many k-mers end in it and begin with it, and the least of each."""
-    x = F.col("x")
-    departing = F.when(dna.twin(x, k) == x, x.bitwiseOR(dna.lit(dna.DEPART))).otherwise(x)
-    sides = F.array(F.struct(dna.suffix(x, k).alias("j"), departing.alias("l"), F.lit(None).cast("long").alias("r")), F.struct(dna.prefix(x, k).alias("j"), F.lit(None).cast("long").alias("l"), x.alias("r")))
-    rows = oriented(kmers, k).select(F.explode(sides).alias("s")).select("s.*")
-    return rows.groupBy("j").agg(F.count("l").alias("n_left"), F.count("r").alias("n_right"), F.min("l").alias("left"), F.min("r").alias("right"))
-
-
-def links(kmers: DataFrame, k: int) -> DataFrame:
-    """``a, b``: b follows a in a unitig. A k-mer never follows itself or its twin."""
-    plain = lambda c: dna.rep(F.col(c).bitwiseAND(dna.lit(dna.mask(k))), k)
-    one = junctions(kmers, k).where((F.col("n_left") == 1) & (F.col("n_right") == 1))
-    return one.where(plain("left") != plain("right")).select(F.col("left").alias("a"), F.col("right").alias("b"))
-
-
 def _double(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes placed on their head, nodes of cycles) of ``state(x, p, d)``, p the node d steps before.
+    """(nodes placed on their head, nodes of cycles) of ``state(x, p, d)``, p the node d bases before.
 
-    Each round a node takes over the pointer of the node it points to. On paths the number of nodes
-    not yet on their head falls every round; once it stands still only cycles are left.
+    Each round a node that is not yet on its head takes over the pointer of the node it points to. On paths their number
+    falls every round; once it stands still only cycles are left.
     """
-    state = materialize(state, "pointers")
-    left = None
-    while True:
-        hop = state.select(F.col("x").alias("h_x"), F.col("p").alias("h_p"), F.col("d").alias("h_d"))
-        state = materialize(
-            state.join(hop, F.col("p") == F.col("h_x"), "left").select("x", F.coalesce("h_p", "p").alias("p"), (F.col("d") + F.coalesce("h_d", F.lit(0))).alias("d"), F.col("h_x").isNotNull().alias("open")), "pointers"
-        )
-        now = state.where("open").count()  # a scan of one column
-        if now == 0 or now == left:
+    hop = lambda df: df.select(F.col("x").alias("h_x"), F.col("p").alias("h_p"), F.col("d").alias("h_d"), F.col("open").alias("h_open"))
+    here = state.select(F.col("x").alias("h_x"))
+    first = materialize(state.join(here, F.col("p") == F.col("h_x"), "left").select("x", "p", "d", F.col("h_x").isNotNull().alias("open")), "pointers")
+    placed, rest = first.where("not open"), first.where("open")
+    left = rest.count()
+    while left:
+        moved = rest.join(hop(placed.union(rest)), F.col("p") == F.col("h_x")).select("x", F.col("h_p").alias("p"), (F.col("d") + F.col("h_d")).alias("d"), F.col("h_open").alias("open"))
+        moved = materialize(moved, "pointers")
+        now = moved.where("open").count()  # a scan of one column
+        placed, rest = placed.union(moved.where("not open")), moved.where("open")
+        if now == left:
             break
         left = now
-        state = state.drop("open")
-    return state.where("not open").select("x", "p", "d"), state.where("open").select("x")
+    return placed.select("x", "p", "d"), rest.select("x")
 
 
 def _cycle_starts(ring: DataFrame) -> DataFrame:
@@ -80,63 +65,72 @@ def _cycle_starts(ring: DataFrame) -> DataFrame:
 
 
 def _rounds(link: DataFrame, k: int) -> DataFrame:
-    """``head, d, x, is_cycle`` by rounds over the whole cluster: both orientations of paths, one of each cycle."""
-    placed, rest = _double(link.select(F.col("b").alias("x"), F.col("a").alias("p"), F.lit(1).cast("long").alias("d")))
+    """``head, d, x, is_cycle`` of ``link(a, b, w)`` by rounds over the whole cluster: both orientations of paths, one of each cycle."""
+    placed, rest = _double(link.select(F.col("b").alias("x"), F.col("a").alias("p"), F.col("w").alias("d")))
     heads = placed.select(F.col("p").alias("x")).distinct().select(F.col("x").alias("head"), F.lit(0).cast("long").alias("d"), "x", F.lit(False).alias("is_cycle"))
     members = heads.union(placed.select(F.col("p").alias("head"), "d", "x", F.lit(False).alias("is_cycle")))
     if not rest.limit(1).count():
         return members
-    ring = link.join(rest, link["b"] == rest["x"]).select("x", F.col("a").alias("p"))
+    ring = link.join(rest, link["b"] == rest["x"]).select("x", F.col("a").alias("p"), "w")
     least = _cycle_starts(ring)
     other = least.select(node_twin(F.col("x"), k).alias("t_x"), F.col("m").alias("t_m"))
     own = materialize(least.join(other, F.col("x") == F.col("t_x")).where(F.col("m") < F.col("t_m")).select("x", "m"), "cycles")
-    cut = ring.join(own, "x").where(F.col("x") != F.col("m")).select("x", "p", F.lit(1).cast("long").alias("d"))
+    cut = ring.join(own, "x").where(F.col("x") != F.col("m")).select("x", "p", F.col("w").alias("d"))
     around, _ = _double(cut)
     starts = own.where(F.col("x") == F.col("m")).select(F.col("m").alias("head"), F.lit(0).cast("long").alias("d"), "x", F.lit(True).alias("is_cycle"))
     return members.union(starts).union(around.select(F.col("p").alias("head"), "d", "x", F.lit(True).alias("is_cycle")))
 
 
-def paths(kmers: DataFrame, k: int, most_local: int = MOST_LINKS) -> DataFrame:
-    """``head, d, x, is_cycle``: every k-mer once, in the orientation and at the place it has in its unitig.
+#: K-mers of a task of ``chains`` on average: some 100 MB of arrays.
+TASK = 400_000
+
 
-    Of the two orientations of a path the one that begins with the smaller k-mer stays. A cycle begins with
-    the least of all its oriented k-mers. Up to ``most_local`` links are followed in one task, more by rounds.
+def _whole(kmers: DataFrame, k: int, most_local: int, tasks: int | None) -> DataFrame:
+    """``seq, is_cycle`` of each unitig, in the orientation it has; of a cycle from any k-mer on and with its first k bases again at its end.
+
+    K-mers meet in buckets of junctions by minimizer, so a task finds all links of its junctions and follows them: what is left are
+    chains, a tenth of the k-mers or so, that meet in the k-mers between two buckets. Up to ``most_local`` chains are
+    followed in one task, more by rounds.
     """
     kmers = materialize(kmers.select("kmer"), "kmers")
-    link = materialize(links(kmers, k), "links")
-    members = solve_links(link, k) if link.count() <= most_local else _rounds(link, k)
-    members = materialize(members, "members")
+    if tasks is None:
+        n = kmers.count()
+        tasks = max(1, -(-n // TASK), min(kmers.sparkSession.sparkContext.defaultParallelism, n // 20_000))
+    table = materialize(chains(bucketed(kmers, k).repartition(tasks, "bucket"), k), "chains")
+    link = table.where(F.col("kind") == CHAIN)
+    members = materialize(solve_links(link, k) if link.count() <= most_local else _rounds(link.select("a", "b", "w"), k), "members")
     ends = members.where("not is_cycle").groupBy("head").agg(F.max_by("x", "d").alias("tail"))
-    # Plain numbers are compared; at equal ones (a palindrome at both ends) the nodes themselves.
+    # Of a path's two orientations the one that begins with the smaller k-mer stays; at equal ones (a palindrome at both ends) the nodes decide.
     bare = lambda c: c.bitwiseAND(dna.lit(dna.mask(k)))
-    back = node_twin(F.col("tail"), k)
-    ahead = (bare(F.col("head")) < bare(back)) | ((bare(F.col("head")) == bare(back)) & (F.col("head") <= back))
-    ours = ends.where(ahead).select(F.col("head").alias("o_head"))
-    linear = members.where("not is_cycle").join(ours, F.col("head") == F.col("o_head"), "left_semi")
-    linked = materialize(linear.union(members.where("is_cycle")).select(bare(F.col("head")).alias("head"), "d", bare(F.col("x")).alias("x"), "is_cycle"), "linked")
-    alone = kmers.join(linked.select(dna.rep(F.col("x"), k).alias("l_kmer")), F.col("kmer") == F.col("l_kmer"), "left_anti")
-    single = alone.select(F.col("kmer").alias("head"), F.lit(0).cast("long").alias("d"), F.col("kmer").alias("x"), F.lit(False).alias("is_cycle"))
-    return linked.union(single)
-
-
-def compact(kmers: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(unitigs, k-mer index) of ``kmers(kmer)``.
-
-    unitigs: ``unitig_id, seq, n_kmers, head, tail, is_cycle``, the id being the canonical form of the head.
+    both = ends.select("head", "tail", node_twin(F.col("tail"), k).alias("back")).select("head", bare(F.col("head")).alias("from"), "back", bare(F.col("back")).alias("to"))
+    ours = both.where((F.col("from") < F.col("to")) | ((F.col("from") == F.col("to")) & (F.col("head") <= F.col("back")))).select(F.col("head").alias("o_head"))
+    kept = members.where("not is_cycle").join(ours, F.col("head") == F.col("o_head"), "left_semi").union(members.where("is_cycle"))
+    parts = link.join(kept, F.col("a") == F.col("x")).select("head", "is_cycle", "d", "bases")
+    rings = table.where(F.col("kind") == RING).select(F.col("a").alias("head"), F.lit(True).alias("is_cycle"), F.lit(0).cast("long").alias("d"), "bases")
+    rows = parts.union(rings).groupBy("head", "is_cycle").agg(F.array_sort(F.collect_list(F.struct("d", "bases"))).alias("parts"))
+    long = rows.select(F.concat(dna.unpack(F.col("head"), k), F.array_join(F.transform("parts", lambda p: p["bases"]), "")).alias("seq"), "is_cycle")
+    halves = table.where(F.col("kind") == HALF).groupBy("a").agg(F.count("*").alias("n")).where("n = 2").select("a")
+    single = table.where(F.col("kind") == SINGLE).select("a").union(halves)
+    return long.union(single.select(dna.unpack(F.col("a"), k).alias("seq"), F.lit(False).alias("is_cycle")))
+
+
+def compact(kmers: DataFrame, k: int, most_local: int = MOST_LINKS, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(unitigs, k-mer index) of ``kmers(kmer)``; unitigs are written, the index is cut from them.
+
+    unitigs: ``unitig_id, seq, n_kmers, head, tail, is_cycle``, the id being the canonical form of the head. Of the two orientations
+    of a path the one that begins with the smaller k-mer stays. A cycle begins with the least of all its oriented k-mers.
     index: ``kmer, unitig_id, pos, strand``, strand true where the unitig holds the canonical form.
     """
     dna.check_k(k)
-    member = materialize(paths(kmers, k).withColumn("unitig_id", dna.rep(F.col("head"), k)), "paths")
-    base = F.translate(F.col("x").bitwiseAND(dna.lit(3)).cast("string"), "0123", "ACGT")
-    rows = member.groupBy("unitig_id").agg(
-        F.min("head").alias("head"), F.max_by("x", "d").alias("tail"), F.count("*").cast("int").alias("n_kmers"), F.max("is_cycle").alias("is_cycle"),
-        F.array_sort(F.collect_list(F.struct("d", base.alias("b")))).alias("bases"),
-    )
-    seq = F.concat(dna.unpack(F.col("head"), k), F.array_join(F.transform(F.slice("bases", 2, F.greatest(F.size("bases") - 1, F.lit(0))), lambda b: b["b"]), ""))
-    unitigs = rows.select("unitig_id", seq.alias("seq"), "n_kmers", "head", "tail", "is_cycle")
-    canon = dna.rep(F.col("x"), k)
-    index = member.select(canon.alias("kmer"), "unitig_id", F.col("d").cast("int").alias("pos"), (canon == F.col("x")).alias("strand"))
-    return unitigs, index
+    unitigs = materialize(named(_whole(kmers, k, most_local, tasks), k), "unitigs")
+    return unitigs, unitig_kmers(unitigs, k).drop("x")
+
+
+def paths(kmers: DataFrame, k: int, most_local: int = MOST_LINKS, tasks: int | None = None) -> DataFrame:
+    """``head, d, x, is_cycle``: every k-mer once, in the orientation and at the place it has in its unitig."""
+    unitigs, _ = compact(kmers, k, most_local, tasks)
+    at = unitig_kmers(unitigs, k).select("unitig_id", F.col("pos").cast("long").alias("d"), "x")
+    return at.join(unitigs.select("unitig_id", "head", "is_cycle"), "unitig_id").select("head", "d", "x", "is_cycle")
 
 
 def kmer_edges(kmers: DataFrame, k: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries over the driver's tables and the SQL that says the same.
 
-The tables hold no DNA: text is read as DNA (functions.dna.text_to_dna). K-mers come out as strings.
+The tables hold no DNA: text is read as DNA (functions.dna.text_to_dna, here of whole Arrow batches). K-mers come out as strings.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from strandloom.functions import dna
 from strandloom.operators import colors as C
 from strandloom.operators import compact as G
-from strandloom.operators import clean, edit, kmers, payload, search, walk
+from strandloom.operators import clean, edit, kmers, payload, search, walk, windows_local
 from strandloom.sources import fastx, files, gfa
 
 from .graph import Graph
-from .stage import number_rows, shared_dir, spread
+from .stage import number_rows, shared_dir, ship, spread
 
 K = 21
 G_K = 31
@@ -40,8 +40,9 @@ def query(sql: str | None = None):
 
 
 def _dna(spark: SparkSession, sf_dir: str, table: str, text: str, *keep: str) -> DataFrame:
+    ship(spark)
     rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keep, text))
-    return rows.select(*keep, dna.text_to_dna(F.col(text)).alias("seq"))
+    return rows.select(*keep, F.arrow_udf(windows_local.read_text, "string")(F.col(text)).alias("seq"))
 
 
 def _documents(spark, sf_dir, *keep):

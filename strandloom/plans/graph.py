@@ -72,8 +72,7 @@ class Graph:
     def _compact(self) -> tuple[DataFrame, DataFrame]:
         if self.made:
             return self.made
-        unitigs, index = compaction.compact(self.kmers, self.k)
-        return materialize(unitigs, "unitigs"), index
+        return compaction.compact(self.kmers, self.k)
 
     @property
     def unitigs(self) -> DataFrame:
