@@ -81,8 +81,8 @@ def _rounds(link: DataFrame, k: int) -> DataFrame:
     return members.union(starts).union(around.select(F.col("p").alias("head"), "d", "x", F.lit(True).alias("is_cycle")))
 
 
-#: K-mers of a task of ``chains`` on average: some 100 MB of arrays.
-TASK = 400_000
+#: K-mers of a task of ``chains`` on average: some 50 MB of arrays.
+TASK = 200_000
 
 
 def _whole(kmers: DataFrame, k: int, most_local: int, tasks: int | None) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from strandloom.functions import dna
 
 #: Bases cut at a time; a dozen arrays of 8 bytes a base are held meanwhile.
-STEP = 1 << 19
+STEP = 1 << 17
 #: Buckets of junctions, see ``buckets``.
 BUCKETS = 1 << 16
 
@@ -112,6 +112,9 @@ BLANK = ord(" ")
 
 def read_text(texts: pa.Array) -> pa.Array:
     """``dna.text_to_dna`` of a string array. Texts beyond ASCII are put in lower case first, as a letter may become others."""
+    if len(texts) > 1 and texts.nbytes > 4 * STEP:
+        half = len(texts) // 2
+        return pa.concat_arrays([read_text(texts.slice(0, half)), read_text(texts.slice(half))])
     if texts.null_count:
         texts = texts.fill_null("")
     texts = texts.cast(pa.large_string())
@@ -120,6 +123,7 @@ def read_text(texts: pa.Array) -> pa.Array:
     if (data > 127).any():
         raw = [s.lower().encode("ascii", "replace") for s in texts.to_pylist()]
         offsets, data = np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.frombuffer(b"".join(raw), np.uint8)
+    offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
     kept = data != BLANK
-    ends = np.concatenate([[0], np.cumsum(kept)])[offsets - offsets[0]] if len(texts) else np.zeros(1, np.int64)
+    ends = offsets - np.searchsorted(np.flatnonzero(~kept), offsets)
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(READ[data[kept]])).cast(pa.string())
