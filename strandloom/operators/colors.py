@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .kmers import kmers
+from .kmers import kmers, partial_counts
 
 
 def color_table(records: DataFrame, name_col: str, order_col: str | None = None) -> DataFrame:
@@ -17,8 +17,8 @@ def color_table(records: DataFrame, name_col: str, order_col: str | None = None)
 
 def color_kmers(graph_kmers: DataFrame, records: DataFrame, k: int, color_col: str, seq_col: str = "seq") -> DataFrame:
     """``kmer, color`` of the graph's k-mers: the inputs are read again and matched to the graph, each pair once."""
-    seen = kmers(records, k, keep=[color_col], seq_col=seq_col).select("kmer", F.col(color_col).alias("color")).distinct()
-    return seen.join(graph_kmers.select("kmer"), "kmer", "left_semi")
+    seen = partial_counts(records, k, color_col, seq_col).select("kmer", F.col(color_col).alias("color"))
+    return seen.join(graph_kmers.select("kmer"), "kmer", "left_semi").distinct()
 
 
 def count_colors(records: DataFrame, k: int, color_col: str, min_count: int = 1, seq_col: str = "seq") -> DataFrame:
@@ -26,7 +26,7 @@ def count_colors(records: DataFrame, k: int, color_col: str, min_count: int = 1,
 
     Counts by k-mer and color are combined before the shuffle; then a k-mer has a row a color at most.
     """
-    pairs = kmers(records, k, keep=[color_col], seq_col=seq_col).groupBy("kmer", F.col(color_col).alias("color")).agg(F.count("*").alias("n"))
+    pairs = partial_counts(records, k, color_col, seq_col).groupBy("kmer", F.col(color_col).alias("color")).agg(F.sum("n").alias("n"))
     if min_count <= 1:
         return pairs.select("kmer", "color")
     return pairs.withColumn("total", F.sum("n").over(W.partitionBy("kmer"))).where(F.col("total") >= min_count).select("kmer", "color")
