@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .compact_local import unitig_kmers
 from .kmers import distinct_kmers
 
 
@@ -24,10 +25,9 @@ def remove_sequences(kmers: DataFrame, records: DataFrame, k: int) -> DataFrame:
     return kmers.join(distinct_kmers(records, k), "kmer", "left_anti")
 
 
-def remove_unitigs(kmers: DataFrame, index: DataFrame, unitig_ids: DataFrame) -> DataFrame:
-    """``unitig_ids(unitig_id)``: these whole unitigs leave the graph."""
-    gone = index.join(unitig_ids.select("unitig_id"), "unitig_id", "left_semi").select("kmer")
-    return kmers.join(gone, "kmer", "left_anti")
+def remove_unitigs(unitigs: DataFrame, unitig_ids: DataFrame, k: int) -> DataFrame:
+    """The k-mers that stay; ``unitig_ids(unitig_id)``: these whole unitigs leave the graph."""
+    return unitig_kmers(unitigs.join(unitig_ids.select("unitig_id"), "unitig_id", "left_anti"), k).select("kmer")
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:

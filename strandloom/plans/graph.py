@@ -108,7 +108,7 @@ class Graph:
         return self._with(materialize(edit.remove_sequences(self.kmers, records, self.k), "graph-kmers"))
 
     def remove_unitigs(self, ids: DataFrame) -> Graph:
-        return self._with(materialize(edit.remove_unitigs(self.kmers, self.index, ids), "graph-kmers"))
+        return self._with(materialize(edit.remove_unitigs(self.unitigs, ids, self.k), "graph-kmers"))
 
     def simplify(self, clip_tips: bool = True, delete_isolated: bool = True) -> Graph:
         left = clean.simplify(self.kmers, self.unitigs, self.index, self.edges, self.k, clip_tips, delete_isolated)
