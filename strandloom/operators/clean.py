@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .compact import degrees
+from .compact_local import unitig_kmers
 
 
 def to_remove(unitigs: DataFrame, edges: DataFrame, k: int, clip_tips: bool = False, delete_isolated: bool = False) -> DataFrame:
@@ -19,5 +20,5 @@ def to_remove(unitigs: DataFrame, edges: DataFrame, k: int, clip_tips: bool = Fa
 def simplify(kmers: DataFrame, unitigs: DataFrame, index: DataFrame, edges: DataFrame, k: int, clip_tips: bool = False, delete_isolated: bool = False) -> DataFrame:
     """The k-mers that stay; compact them again for the simplified graph."""
     gone = to_remove(unitigs, edges, k, clip_tips, delete_isolated).select(F.col("unitig_id").alias("r_id"))
-    left = index.join(gone, F.col("unitig_id") == F.col("r_id"), "left_anti").select("kmer")
-    return kmers.join(left, "kmer", "left_semi")
+    left = unitigs.join(gone, F.col("unitig_id") == F.col("r_id"), "left_anti")
+    return unitig_kmers(left, k).select("kmer")
