@@ -17,7 +17,7 @@ from strandloom.operators import clean, edit, kmers, payload, search, walk, wind
 from strandloom.sources import fastx, files, gfa
 
 from .graph import Graph
-from .stage import number_rows, shared_dir, ship, spread
+from .stage import number_rows, shared_dir, ship_texts, spread
 
 K = 21
 G_K = 31
@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 
 
 def _dna(spark: SparkSession, sf_dir: str, table: str, text: str, *keep: str) -> DataFrame:
-    ship(spark)
+    ship_texts(spark)
     rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keep, text))
     return rows.select(*keep, F.arrow_udf(windows_local.read_text, "string")(F.col(text)).alias("seq"))
 

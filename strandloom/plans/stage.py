@@ -57,6 +57,12 @@ def ship(spark: SparkSession) -> None:
     sc._strandloom_shipped = True
 
 
+def ship_texts(spark: SparkSession) -> None:
+    """``ship``, and bound the bytes of an Arrow batch, so that long records fill neither the JVM's buffers nor a worker. The setting stays in the session."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a bare scan out where it has fewer partitions than there are cores (one small file is one task).
 
