@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .compact import degrees
+from .compact import degrees, join_ends
 from .compact_local import unitig_kmers
 
 
@@ -17,8 +17,18 @@ def to_remove(unitigs: DataFrame, edges: DataFrame, k: int, clip_tips: bool = Fa
     return short.join(n, F.col("unitig_id") == F.col("g_id")).where(F.col("n").isin(wanted)).select("unitig_id")
 
 
-def simplify(kmers: DataFrame, unitigs: DataFrame, index: DataFrame, edges: DataFrame, k: int, clip_tips: bool = False, delete_isolated: bool = False) -> DataFrame:
-    """The k-mers that stay; compact them again for the simplified graph."""
+def kept(unitigs: DataFrame, edges: DataFrame, k: int, clip_tips: bool = False, delete_isolated: bool = False) -> DataFrame:
+    """The unitigs that stay, as they were."""
     gone = to_remove(unitigs, edges, k, clip_tips, delete_isolated).select(F.col("unitig_id").alias("r_id"))
-    left = unitigs.join(gone, F.col("unitig_id") == F.col("r_id"), "left_anti")
-    return unitig_kmers(left, k).select("kmer")
+    return unitigs.join(gone, F.col("unitig_id") == F.col("r_id"), "left_anti")
+
+
+def simplify(kmers: DataFrame, unitigs: DataFrame, index: DataFrame, edges: DataFrame, k: int, clip_tips: bool = False, delete_isolated: bool = False) -> DataFrame:
+    """The k-mers that stay."""
+    return unitig_kmers(kept(unitigs, edges, k, clip_tips, delete_isolated), k).select("kmer")
+
+
+def simplified(unitigs: DataFrame, edges: DataFrame, k: int, clip_tips: bool = False, delete_isolated: bool = False) -> DataFrame:
+    """Unitigs of the simplified graph. An isolated one has no neighbour, so no other changes when it goes; where a tip went, its neighbours may join."""
+    left = kept(unitigs, edges, k, clip_tips, delete_isolated)
+    return join_ends(left, k) if clip_tips else left

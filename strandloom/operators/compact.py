@@ -85,6 +85,23 @@ def _rounds(link: DataFrame, k: int) -> DataFrame:
 TASK = 200_000
 
 
+def _parts(link: DataFrame, k: int, most_local: int) -> DataFrame:
+    """``head, is_cycle, d, bases`` of written ``link(a, b, w, bases)``: the links of each unitig by their place in it."""
+    members = materialize(solve_links(link, k) if link.count() <= most_local else _rounds(link.select("a", "b", "w"), k), "members")
+    ends = members.where("not is_cycle").groupBy("head").agg(F.max_by("x", "d").alias("tail"))
+    # Of a path's two orientations the one that begins with the smaller k-mer stays; at equal ones (a palindrome at both ends) the nodes decide.
+    bare = lambda c: c.bitwiseAND(dna.lit(dna.mask(k)))
+    both = ends.select("head", "tail", node_twin(F.col("tail"), k).alias("back")).select("head", bare(F.col("head")).alias("from"), "back", bare(F.col("back")).alias("to"))
+    ours = both.where((F.col("from") < F.col("to")) | ((F.col("from") == F.col("to")) & (F.col("head") <= F.col("back")))).select(F.col("head").alias("o_head"))
+    kept = members.where("not is_cycle").join(ours, F.col("head") == F.col("o_head"), "left_semi").union(members.where("is_cycle"))
+    return link.join(kept, F.col("a") == F.col("x")).select("head", "is_cycle", "d", "bases")
+
+
+def _spelled(parts: DataFrame, k: int) -> DataFrame:
+    rows = parts.groupBy("head", "is_cycle").agg(F.array_sort(F.collect_list(F.struct("d", "bases"))).alias("parts"))
+    return rows.select(F.concat(dna.unpack(F.col("head"), k), F.array_join(F.transform("parts", lambda p: p["bases"]), "")).alias("seq"), "is_cycle")
+
+
 def _whole(kmers: DataFrame, k: int, most_local: int, tasks: int | None) -> DataFrame:
     """``seq, is_cycle`` of each unitig, in the orientation it has; of a cycle from any k-mer on and with its first k bases again at its end.
 
@@ -97,18 +114,9 @@ def _whole(kmers: DataFrame, k: int, most_local: int, tasks: int | None) -> Data
         n = kmers.count()
         tasks = max(1, -(-n // TASK), min(kmers.sparkSession.sparkContext.defaultParallelism, n // 20_000))
     table = materialize(chains(bucketed(kmers, k).repartition(tasks, "bucket"), k), "chains")
-    link = table.where(F.col("kind") == CHAIN)
-    members = materialize(solve_links(link, k) if link.count() <= most_local else _rounds(link.select("a", "b", "w"), k), "members")
-    ends = members.where("not is_cycle").groupBy("head").agg(F.max_by("x", "d").alias("tail"))
-    # Of a path's two orientations the one that begins with the smaller k-mer stays; at equal ones (a palindrome at both ends) the nodes decide.
-    bare = lambda c: c.bitwiseAND(dna.lit(dna.mask(k)))
-    both = ends.select("head", "tail", node_twin(F.col("tail"), k).alias("back")).select("head", bare(F.col("head")).alias("from"), "back", bare(F.col("back")).alias("to"))
-    ours = both.where((F.col("from") < F.col("to")) | ((F.col("from") == F.col("to")) & (F.col("head") <= F.col("back")))).select(F.col("head").alias("o_head"))
-    kept = members.where("not is_cycle").join(ours, F.col("head") == F.col("o_head"), "left_semi").union(members.where("is_cycle"))
-    parts = link.join(kept, F.col("a") == F.col("x")).select("head", "is_cycle", "d", "bases")
+    parts = _parts(table.where(F.col("kind") == CHAIN), k, most_local)
     rings = table.where(F.col("kind") == RING).select(F.col("a").alias("head"), F.lit(True).alias("is_cycle"), F.lit(0).cast("long").alias("d"), "bases")
-    rows = parts.union(rings).groupBy("head", "is_cycle").agg(F.array_sort(F.collect_list(F.struct("d", "bases"))).alias("parts"))
-    long = rows.select(F.concat(dna.unpack(F.col("head"), k), F.array_join(F.transform("parts", lambda p: p["bases"]), "")).alias("seq"), "is_cycle")
+    long = _spelled(parts.union(rings), k)
     halves = table.where(F.col("kind") == HALF).groupBy("a").agg(F.count("*").alias("n")).where("n = 2").select("a")
     single = table.where(F.col("kind") == SINGLE).select("a").union(halves)
     return long.union(single.select(dna.unpack(F.col("a"), k).alias("seq"), F.lit(False).alias("is_cycle")))
@@ -126,6 +134,34 @@ def compact(kmers: DataFrame, k: int, most_local: int = MOST_LINKS, tasks: int |
     return unitigs, unitig_kmers(unitigs, k).drop("x")
 
 
+def join_ends(unitigs: DataFrame, k: int, most_local: int = MOST_LINKS) -> DataFrame:
+    """Unitigs of the graph of the k-mers of ``unitigs``, which are whole unitigs that stay of a larger graph.
+
+    A junction within a unitig has no other k-mer, so only ends can have got new links; unitigs without one stay as they are.
+    """
+    none, head, tail = F.lit(None).cast("long"), F.col("head"), F.col("tail")
+    turned, back = dna.twin(tail, k), dna.twin(head, k)
+    row = lambda j, a, b: F.struct(j.alias("j"), a.alias("a"), b.alias("b"))
+    ends = F.array(*[row(dna.suffix(a, k), a, none) for a in (tail, back)], *[row(dna.prefix(b, k), none, b) for b in (head, turned)])
+    e = unitigs.where("not is_cycle").select("unitig_id", F.explode(ends).alias("e")).select("e.j", "e.a", "e.b", F.when(F.col("e.a").isNotNull(), F.col("unitig_id")).alias("a_id"), F.when(F.col("e.b").isNotNull(), F.col("unitig_id")).alias("b_id"))
+    met = e.groupBy("j").agg(F.min("a").alias("a"), F.max("a").alias("a_most"), F.min("b").alias("b"), F.max("b").alias("b_most"), F.min("a_id").alias("a_id"), F.min("b_id").alias("b_id"))
+    a, b = F.col("a"), F.col("b")
+    met = materialize(met.where((a == F.col("a_most")) & (b == F.col("b_most")) & (a != b) & (dna.twin(a, k) != b)).select("a", "b", "a_id", "b_id"), "ends")
+    leaving = lambda x: F.when(dna.twin(x, k) == x, x.bitwiseOR(dna.lit(dna.DEPART))).otherwise(x)
+    new = met.select(leaving(a).alias("a"), "b", F.lit(1).cast("long").alias("w"), F.translate(dna.base_at(b, k - 1, k).cast("string"), "0123", "ACGT").alias("bases"))
+    ids = met.select(F.explode(F.array("a_id", "b_id")).alias("t_id")).distinct()
+    touched = unitigs.join(ids, F.col("unitig_id") == F.col("t_id"), "left_semi")
+    w = (F.col("n_kmers") - 1).cast("long").alias("w")
+    after = lambda s: F.substring(s, F.lit(k + 1), F.col("n_kmers")).alias("bases")
+    inside = touched.where("n_kmers > 1").select(F.explode(F.array(
+        F.struct(leaving(head).alias("a"), tail.alias("b"), w, after(F.col("seq"))),
+        F.struct(leaving(turned).alias("a"), back.alias("b"), w, after(dna.reverse_complement(F.col("seq")))),
+    )).alias("c")).select("c.*")
+    link = materialize(new.union(inside), "chains")
+    joined = named(_spelled(_parts(link, k, most_local), k), k)
+    return joined.union(unitigs.join(ids, F.col("unitig_id") == F.col("t_id"), "left_anti").select(*joined.columns))
+
+
 def paths(kmers: DataFrame, k: int, most_local: int = MOST_LINKS, tasks: int | None = None) -> DataFrame:
     """``head, d, x, is_cycle``: every k-mer once, in the orientation and at the place it has in its unitig."""
     unitigs, _ = compact(kmers, k, most_local, tasks)

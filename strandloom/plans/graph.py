@@ -111,8 +111,10 @@ class Graph:
         return self._with(materialize(edit.remove_unitigs(self.unitigs, ids, self.k), "graph-kmers"))
 
     def simplify(self, clip_tips: bool = True, delete_isolated: bool = True) -> Graph:
-        left = clean.simplify(self.kmers, self.unitigs, self.index, self.edges, self.k, clip_tips, delete_isolated)
-        return self._with(materialize(left, "graph-kmers"))
+        """The unitigs that stay are joined at their ends; k-mers are not compacted again."""
+        unitigs = materialize(clean.simplified(self.unitigs, self.edges, self.k, clip_tips, delete_isolated), "unitigs")
+        index = compaction.unitig_kmers(unitigs, self.k).drop("x")
+        return replace(self._with(index.select("kmer")), made=(unitigs, index))
 
     def merge(self, *others: Graph) -> Graph:
         """Union of graphs of the same k and g; colors are kept by name."""
