@@ -139,23 +139,25 @@ def join_ends(unitigs: DataFrame, k: int, most_local: int = MOST_LINKS) -> DataF
 
     A junction within a unitig has no other k-mer, so only ends can have got new links; unitigs without one stay as they are.
     """
-    none, head, tail = F.lit(None).cast("long"), F.col("head"), F.col("tail")
-    turned, back = dna.twin(tail, k), dna.twin(head, k)
-    row = lambda j, a, b: F.struct(j.alias("j"), a.alias("a"), b.alias("b"))
-    ends = F.array(*[row(dna.suffix(a, k), a, none) for a in (tail, back)], *[row(dna.prefix(b, k), none, b) for b in (head, turned)])
-    e = unitigs.where("not is_cycle").select("unitig_id", F.explode(ends).alias("e")).select("e.j", "e.a", "e.b", F.when(F.col("e.a").isNotNull(), F.col("unitig_id")).alias("a_id"), F.when(F.col("e.b").isNotNull(), F.col("unitig_id")).alias("b_id"))
-    met = e.groupBy("j").agg(F.min("a").alias("a"), F.max("a").alias("a_most"), F.min("b").alias("b"), F.max("b").alias("b_most"), F.min("a_id").alias("a_id"), F.min("b_id").alias("b_id"))
-    a, b = F.col("a"), F.col("b")
-    met = materialize(met.where((a == F.col("a_most")) & (b == F.col("b_most")) & (a != b) & (dna.twin(a, k) != b)).select("a", "b", "a_id", "b_id"), "ends")
-    leaving = lambda x: F.when(dna.twin(x, k) == x, x.bitwiseOR(dna.lit(dna.DEPART))).otherwise(x)
-    new = met.select(leaving(a).alias("a"), "b", F.lit(1).cast("long").alias("w"), F.translate(dna.base_at(b, k - 1, k).cast("string"), "0123", "ACGT").alias("bases"))
+    head, tail, turned, back, a, b = (F.col(c) for c in ("head", "tail", "turned", "back", "a", "b"))
+    sides = lambda df: df.withColumns({"turned": dna.twin(tail, k), "back": dna.twin(head, k)})  # noqa: E731  columns of their own: a twin of a twin would be a thousand terms
+    none = F.lit(None).cast("long")
+    row = lambda j, x, y: F.struct(j.alias("j"), x.alias("a"), y.alias("b"))
+    ends = F.array(*[row(dna.suffix(x, k), x, none) for x in (tail, back)], *[row(dna.prefix(y, k), none, y) for y in (head, turned)])
+    e = sides(unitigs.where("not is_cycle")).select("unitig_id", F.explode(ends).alias("e")).select("unitig_id", "e.*")
+    of = lambda x: F.min(F.when(x.isNotNull(), F.col("unitig_id")))
+    met = e.groupBy("j").agg(F.min(a).alias("a"), F.max(a).alias("a_most"), F.min(b).alias("b"), F.max(b).alias("b_most"), of(a).alias("a_id"), of(b).alias("b_id"))
+    met = met.where((a == F.col("a_most")) & (b == F.col("b_most")) & (a != b)).select("a", "b", "a_id", "b_id", dna.twin(a, k).alias("turned"))
+    met = materialize(met.where(turned != b), "ends")
+    leaving = lambda x, other: F.when(x == other, x.bitwiseOR(dna.lit(dna.DEPART))).otherwise(x)
+    new = met.select(leaving(a, turned).alias("a"), "b", F.lit(1).cast("long").alias("w"), F.translate(dna.base_at(b, k - 1, k).cast("string"), "0123", "ACGT").alias("bases"))
     ids = met.select(F.explode(F.array("a_id", "b_id")).alias("t_id")).distinct()
     touched = unitigs.join(ids, F.col("unitig_id") == F.col("t_id"), "left_semi")
     w = (F.col("n_kmers") - 1).cast("long").alias("w")
     after = lambda s: F.substring(s, F.lit(k + 1), F.col("n_kmers")).alias("bases")
-    inside = touched.where("n_kmers > 1").select(F.explode(F.array(
-        F.struct(leaving(head).alias("a"), tail.alias("b"), w, after(F.col("seq"))),
-        F.struct(leaving(turned).alias("a"), back.alias("b"), w, after(dna.reverse_complement(F.col("seq")))),
+    inside = sides(touched.where("n_kmers > 1")).select(F.explode(F.array(
+        F.struct(leaving(head, back).alias("a"), tail.alias("b"), w, after(F.col("seq"))),
+        F.struct(leaving(turned, tail).alias("a"), back.alias("b"), w, after(dna.reverse_complement(F.col("seq")))),
     )).alias("c")).select("c.*")
     link = materialize(new.union(inside), "chains")
     joined = named(_spelled(_parts(link, k, most_local), k), k)

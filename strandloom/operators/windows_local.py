@@ -58,8 +58,8 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
-def cut(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place in the bytes, oriented k-mer) of all windows over ACGT that lie within one text, some at a time."""
+def _steps(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the step in the bytes, its base codes, places in it of all windows over ACGT that lie within one text)."""
     offsets, data = text_buffers(texts)
     if not len(offsets):
         return
@@ -73,7 +73,36 @@ def cut(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         starts = np.cumsum(starts, dtype=np.int32)
         good = np.flatnonzero((bad[k:] == bad[:-k]) & (starts[k - 1 :] == starts[: len(codes) - k + 1]))
         if len(good):
-            yield good + at, rolled(codes, k)[good]
+            yield at, codes, good
+
+
+def cut(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in the bytes, oriented k-mer) of all windows over ACGT that lie within one text, some at a time."""
+    for at, codes, good in _steps(texts, k):
+        yield good + at, rolled(codes, k)[good]
+
+
+def minimizers(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the canonical minimizer of the k-mer that begins at each place; the same for its twin."""
+    g = min(13, max(1, k // 2))
+    x = rolled(codes, g)
+    h, width, wanted = mixed(np.minimum(x, twin(x, g))), 1, k - g + 1
+    while 2 * width <= wanted:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    rest = wanted - width
+    return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
+
+
+def pieces(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(bucket, piece) of runs of windows with the same minimizer, some at a time: each window over ACGT lies in one piece, and a k-mer and its twin in one bucket."""
+    for _, codes, good in _steps(texts, k):
+        h = minimizers(codes, k)[good]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(good) != 1) | (h[1:] != h[:-1])]))
+        size = np.diff(np.append(new, len(good))) + k - 1
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        bases = BASES[codes[np.arange(offsets[-1]) + np.repeat(good[new] - offsets[:-1], size)]]
+        yield (mixed(h[new]) >> np.uint64(48)).astype(np.int32), pa.LargeStringArray.from_buffers(len(new), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(bases)).cast(pa.string())
 
 
 def canonical(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

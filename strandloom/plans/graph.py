@@ -43,7 +43,7 @@ class Graph:
         """K-mers of ``seq`` records seen ``min_count`` times or more, and all of ``ref`` records; then cleaned, then colored."""
         parts = []
         if seq is not None:
-            parts.append(kmers.count_kmers(seq, k, min_count).select("kmer"))
+            parts.append(kmers.solid_kmers(seq, k, min_count))
         if ref is not None:
             parts.append(kmers.distinct_kmers(ref, k))
         if not parts:
