@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import dna
-from strandloom.plans.stage import materialize
+from strandloom.plans.stage import forget, materialize
 
 from .compact_local import CHAIN, HALF, MOST_LINKS, RING, SINGLE, bucketed, chains, named, solve_links, unitig_kmers
 
@@ -114,6 +114,7 @@ def _whole(kmers: DataFrame, k: int, most_local: int, tasks: int | None) -> Data
         n = kmers.count()
         tasks = max(1, -(-n // TASK), min(kmers.sparkSession.sparkContext.defaultParallelism, n // 20_000))
     table = materialize(chains(bucketed(kmers, k).repartition(tasks, "bucket"), k), "chains")
+    forget(kmers)
     parts = _parts(table.where(F.col("kind") == CHAIN), k, most_local)
     rings = table.where(F.col("kind") == RING).select(F.col("a").alias("head"), F.lit(True).alias("is_cycle"), F.lit(0).cast("long").alias("d"), "bases")
     long = _spelled(parts.union(rings), k)
